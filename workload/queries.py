@@ -221,7 +221,7 @@ def discover(spark, sf_dir):
 # --- outline and symbols ----------------------------------------------------
 @query
 def outline_lines(spark, sf_dir):
-    return outline.outline_lines(_code_texts(spark, sf_dir))
+    return outline.outline_lines(_code_texts(spark, sf_dir)).drop("seq")
 
 
 @query
