@@ -25,9 +25,13 @@ def is_generic(node_type: Column) -> Column:
     return node_type.isin(K.GENERIC_TYPES + K.MEMBER_BODY_TYPES)
 
 
+def first_line(node_text: Column) -> Column:
+    return T.trim(F.substring_index(node_text, "\n", 1))
+
+
 def signature(node_text: Column) -> Column:
     """First line of a node, trimmed, cut when it is too long."""
-    line = T.trim(F.substring_index(node_text, "\n", 1))
+    line = first_line(node_text)
     close = F.instr(line, ")")
     cut_at_call = F.concat(F.substr(line, F.lit(1), close), F.lit(" { ... }"))
     return (
@@ -47,23 +51,36 @@ def kind(node_type: Column) -> Column:
 
 
 def _first_match(sig: Column, patterns: list[str]) -> Column:
-    found = [F.nullif(F.regexp_extract(sig, _filled(p), 1), F.lit("")) for p in patterns]
-    return F.coalesce(*found)
-
-
-def _first_of_list(found: Column) -> Column:
-    return T.trim(F.substring_index(found, ",", 1))
-
-
-def name_of(kind_col: Column, sig: Column) -> Column:
-    """Name of a symbol, or null when no pattern of its kind fits."""
-    imp = _first_match(sig, K.NAME_PATTERNS["imp"])
-    module = F.regexp_replace(F.substring_index(imp, "/", -1), K.IMPORT_SUFFIX, "")
-    exp = _first_match(sig, K.NAME_PATTERNS["exp"])
-    out = F.when(
-        kind_col == "imp",
-        F.when(F.contains(imp, F.lit("/")), module).otherwise(_first_of_list(imp)),
-    ).when(kind_col == "exp", _first_of_list(exp))
-    for other in ("fn", "cls", "mod", "var"):
-        out = out.when(kind_col == other, _first_match(sig, K.NAME_PATTERNS[other]))
-    return F.nullif(out, F.lit(""))
+    """Group 1 of the first pattern that matches anywhere; empty without any.
+
+    The patterns become one regex whose alternatives are tried in order, each
+    at every position before the next gets its turn. One pass replaces a chain
+    of extractions, which Spark would evaluate several times over.
+    """
+    tries = "|".join(f".*?{_filled(p)}" for p in patterns)
+    groups = "".join(f"${i + 1}" for i in range(len(patterns)))
+    return F.regexp_replace(sig, f"(?s)^(?:{tries}|).*\\z", groups)
+
+
+def found_text(kind_col: Column, sig: Column) -> Column:
+    """What the name patterns of a kind capture; empty when none of them fits."""
+    out = None
+    for name, patterns in K.NAME_PATTERNS.items():
+        text = _first_match(sig, patterns)
+        out = F.when(kind_col == name, text) if out is None else out.when(kind_col == name, text)
+    return out
+
+
+def name_from(kind_col: Column, found: Column) -> Column:
+    """Name of a symbol from its captured text; may be empty.
+
+    Imports of a module path are named by its last step, lists of names by
+    their first.
+    """
+    module = F.regexp_replace(F.substring_index(found, "/", -1), K.IMPORT_SUFFIX, "")
+    first = T.trim(F.substring_index(found, ",", 1))
+    return (
+        F.when((kind_col == "imp") & F.contains(found, F.lit("/")), module)
+        .when(kind_col.isin("imp", "exp"), first)
+        .otherwise(found)
+    )

@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from sylvan import constants as K
 
-_TRIM = f"^[{K.SPACE_SET}]+|[{K.SPACE_SET}]+\\z"
-_TRIM_LEFT = f"^[{K.SPACE_SET}]+"
 # Splits a double into two halves whose products with small integers are exact.
 _SPLITTER = 134217729.0
 
 
 def trim(text: Column) -> Column:
     """Strip Unicode white space, line ends and the byte-order mark."""
-    return F.regexp_replace(text, _TRIM, "")
+    return F.btrim(text, F.lit(K.SPACE_CHARS))
 
 
 def indent_width(line: Column) -> Column:
-    return F.length(line) - F.length(F.regexp_replace(line, _TRIM_LEFT, ""))
+    return F.length(line) - F.length(F.ltrim(line, F.lit(K.SPACE_CHARS)))
 
 
 def decode_text(content: Column) -> Column:

@@ -8,7 +8,7 @@ distinct names, so a name that is asked for often is looked up once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan import constants as K
@@ -47,59 +47,93 @@ def requests_from_json(replies: DataFrame) -> DataFrame:
     )
 
 
-def resolve_exact(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """``repo, requested, path, is_dir`` per distinct request; path null on a miss.
+def _no_hit() -> Column:
+    return F.lit(None).cast("struct<score:int,n:int,path:string>")
 
-    No filter applies here: a hidden or excluded file can be asked for by path.
-    A request that names a directory has ``is_dir`` true and no path.
-    """
-    names = requests.select(*_NAME).distinct().withColumn(
-        "norm", paths.normalized(F.col("requested"))
+
+def _keys_of_file(path: Column) -> Column:
+    """Every name that can lead to a file: its path, its directories, and, when
+    a search may find it, its path suffixes."""
+    hit = F.struct(
+        paths.path_score(path).cast("int").alias("score"), F.length(path).alias("n"), path.alias("path")
+    )
+
+    def entry(key: Column, is_file: bool, is_dir: bool, best: Column) -> Column:
+        return F.struct(
+            key.alias("key"),
+            F.lit(is_file).alias("is_file"),
+            F.lit(is_dir).alias("is_dir"),
+            best.alias("hit"),
+        )
+
+    itself = F.array(entry(path, True, False, _no_hit()))
+    above = F.transform(
+        paths.ancestor_dirs(path), lambda d: entry(d, False, True, _no_hit())
+    )
+    below = F.transform(paths.path_suffixes(path), lambda s: entry(s, False, False, hit))
+    return F.concat(itself, above, F.when(_is_searchable(path), below).otherwise(F.slice(itself, 1, 0)))
+
+
+def _is_searchable(path: Column) -> Column:
+    return ~paths.is_hidden(path) & ~paths.below_any_dir(path, K.SEARCH_SKIP_DIRS)
+
+
+def _names(requests: DataFrame) -> DataFrame:
+    return (
+        requests.select(*_NAME)
+        .distinct()
+        .withColumn("norm", paths.normalized(F.col("requested")))
+        .withColumn("is_glob", globs.has_glob_chars(F.col("requested")))
     )
-    known = files.select("repo", F.col("path").alias("norm"), F.lit(True).alias("is_file"))
-    wanted = names.select("repo", F.col("norm").alias("dir")).distinct()
-    dirs = (
-        files.select("repo", F.explode(paths.ancestor_dirs(F.col("path"))).alias("dir"))
+
+
+def _known(files: DataFrame, names: DataFrame) -> DataFrame:
+    """What the corpus has under each wanted name, one row per ``repo, key``.
+
+    One pass over the file names. Names shared by many files (``src``,
+    ``index.js``) are spread while they are matched and reduced to one row per
+    task before they are shuffled again. A minimum finds the best hit; no sort.
+    """
+    wanted = (
+        names.select("repo", F.explode(F.array("requested", "norm")).alias("key"))
+        .filter(F.col("key").isNotNull())
         .distinct()
-        .join(wanted, ["repo", "dir"], "left_semi")
-        .select("repo", F.col("dir").alias("norm"), F.lit(True).alias("found_dir"))
     )
+    rows = files.select("repo", "path").select("repo", "path", F.inline(_keys_of_file(F.col("path"))))
     return (
-        names.join(known, ["repo", "norm"], "left")
-        .join(dirs, ["repo", "norm"], "left")
-        .select(
-            *_NAME,
-            F.when(F.col("is_file"), F.col("norm")).alias("path"),
-            (F.coalesce("found_dir", F.lit(False)) | F.coalesce(F.col("norm") == "", F.lit(False))).alias(
-                "is_dir"
-            ),
+        join_hot(rows, wanted, ["repo", "key"], "left_semi", spread="path")
+        .groupBy("repo", "key")
+        .agg(
+            F.max("is_file").alias("is_file"),
+            F.max("is_dir").alias("is_dir"),
+            F.min("hit").alias("best"),
+            F.count("hit").alias("n_hits"),
         )
     )
 
 
-def _searchable(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    return files.select("repo", "path").filter(
-        ~paths.is_hidden(path) & ~paths.below_any_dir(path, K.SEARCH_SKIP_DIRS)
+def _with_exact(names: DataFrame, known: DataFrame) -> DataFrame:
+    """Add ``path`` and ``is_dir`` of the normalised request."""
+    at = known.select("repo", F.col("key").alias("norm"), "is_file", F.col("is_dir").alias("found_dir"))
+    norm = F.col("norm")
+    return (
+        names.join(at, ["repo", "norm"], "left")
+        .withColumn("path", F.when(F.col("is_file"), norm))
+        .withColumn(
+            "is_dir",
+            F.coalesce("found_dir", F.lit(False)) | F.coalesce(norm == "", F.lit(False)),
+        )
     )
 
 
-def _split_names(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    is_glob = globs.has_glob_chars(F.col("requested"))
-    return names.filter(~is_glob), names.filter(is_glob)
-
+def resolve_exact(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """``repo, requested, path, is_dir`` per distinct request; path null on a miss.
 
-def _suffix_rows(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Path suffixes of files whose base name some request ends with."""
-    wanted = names.select("repo", paths.basename(F.col("requested")).alias("base")).distinct()
-    near = (
-        _searchable(files)
-        .withColumn("base", paths.basename(F.col("path")))
-        .join(wanted, ["repo", "base"], "left_semi")
-    )
-    return near.select(
-        "repo", "path", F.explode(paths.path_suffixes(F.col("path"))).alias("requested")
-    )
+    No filter applies here: a hidden or excluded file can be asked for by path.
+    A request that names a directory has ``is_dir`` true and no path.
+    """
+    names = _names(requests)
+    return _with_exact(names, _known(files, names)).select(*_NAME, "path", "is_dir")
 
 
 def _glob_hits(files: DataFrame, names: DataFrame) -> DataFrame:
@@ -124,61 +158,76 @@ def _glob_hits(files: DataFrame, names: DataFrame) -> DataFrame:
         .groupBy("repo", F.pmod(F.xxhash64("requested"), "n_bundles").alias("bundle"))
         .agg(F.collect_list(F.struct("requested", "regex")).alias("patterns"))
     )
-    met = join_hot(_searchable(files), per_repo, ["repo"], "inner", "path")
     path = F.col("path")
+    searchable = files.select("repo", "path").filter(_is_searchable(path))
+    met = join_hot(searchable, per_repo, ["repo"], "inner", "path")
     hits = F.filter("patterns", lambda p: globs.matches(path, p["regex"]))
     return met.select("repo", "path", F.explode(hits).alias("hit")).select(
         "repo", F.col("hit.requested").alias("requested"), "path"
     )
 
 
-def resolve_search(names: DataFrame, files: DataFrame) -> DataFrame:
+def _best(hits: DataFrame) -> DataFrame:
+    """Best hit per name. A minimum, not a sort: it combines before the shuffle."""
+    path = F.col("path")
+    hit = F.struct(
+        paths.path_score(path).cast("int").alias("score"), F.length(path).alias("n"), path.alias("path")
+    )
+    return hits.groupBy(*_NAME).agg(F.min(hit).alias("best"), F.count(F.lit(1)).alias("n_hits"))
+
+
+def resolve_search(requests: DataFrame, files: DataFrame) -> DataFrame:
     """All hits of a search: ``repo, requested, path, score``.
 
     A path ends with the requested name exactly when the name is one of its
     suffixes, so this is an equality join, never a comparison of all pairs.
     """
-    plain, wild = _split_names(names.select(*_NAME).distinct())
-    hits = _suffix_rows(files, plain).join(plain, _NAME, "left_semi").select(*_NAME, "path")
-    both = hits.unionByName(_glob_hits(files, wild).select(*_NAME, "path"))
-    return both.withColumn("score", paths.path_score(F.col("path")))
-
-
-def _best(hits: DataFrame) -> DataFrame:
-    """Best hit per name. A minimum, not a sort: it combines before the shuffle."""
+    names = _names(requests)
     path = F.col("path")
-    return (
-        hits.groupBy(*_NAME)
-        .agg(
-            F.min(
-                F.struct(paths.path_score(path).alias("score"), F.length(path).alias("n"), path)
-            ).alias("best"),
-            F.count(F.lit(1)).alias("n_matches"),
-        )
-        .select(*_NAME, F.col("best.path").alias("path"), F.col("best.score").alias("score"), "n_matches")
+    suffixes = (
+        files.select("repo", "path")
+        .filter(_is_searchable(path))
+        .select("repo", "path", F.explode(paths.path_suffixes(path)).alias("requested"))
     )
+    plain = names.filter(~F.col("is_glob")).select(*_NAME)
+    hits = join_hot(suffixes, plain, _NAME, "left_semi", spread="path").select(*_NAME, "path")
+    wild = _glob_hits(files, names.filter("is_glob")).select(*_NAME, "path")
+    return hits.unionByName(wild).withColumn("score", paths.path_score(path).cast("int"))
+
 
+def _with_search(names: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
+    """Add ``best`` and ``n_hits`` of the search for a name; null without a hit."""
+    at = known.filter("n_hits > 0").select("repo", F.col("key").alias("requested"), "best", "n_hits")
+    wild = _best(_glob_hits(files, names.filter("is_glob")))
+    both = at.join(names.filter(~F.col("is_glob")).select(*_NAME), _NAME, "left_semi").unionByName(wild)
+    return names.join(both, _NAME, "left")
 
-def resolve_best(names: DataFrame, files: DataFrame) -> DataFrame:
+
+def resolve_best(requests: DataFrame, files: DataFrame) -> DataFrame:
     """``repo, requested, path, score, n_matches``: the preferred hit per name.
 
-    Ties go to the shorter path, then by path. Suffixes are reduced to their
-    best path before they meet the names, so a file name shared by a large
-    part of a corpus is one row in the join.
+    Ties go to the shorter path, then by path.
     """
-    plain, wild = _split_names(names.select(*_NAME).distinct())
-    found = _best(_suffix_rows(files, plain)).join(plain, _NAME, "left_semi")
-    return found.unionByName(_best(_glob_hits(files, wild)))
+    names = _names(requests)
+    return (
+        _with_search(names, _known(files, names), files)
+        .filter("n_hits > 0")
+        .select(
+            *_NAME,
+            F.col("best.path").alias("path"),
+            F.col("best.score").alias("score"),
+            F.col("n_hits").alias("n_matches"),
+        )
+    )
 
 
-def alternatives(names: DataFrame, files: DataFrame) -> DataFrame:
+def alternatives(requests: DataFrame, files: DataFrame) -> DataFrame:
     """The other hits of names with more than one, as rows."""
-    best = resolve_best(names, files).filter("n_matches > 1").select(
+    best = resolve_best(requests, files).filter("n_matches > 1").select(
         *_NAME, F.col("path").alias("best_path")
     )
     return (
-        resolve_search(names, files)
-        .join(best, _NAME)
+        join_hot(resolve_search(requests, files), best, _NAME, "inner", spread="path")
         .filter("path <> best_path")
         .select(*_NAME, "path", "score")
     )
@@ -186,20 +235,18 @@ def alternatives(names: DataFrame, files: DataFrame) -> DataFrame:
 
 def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
     """``repo, req_no, requested, path, strategy, is_dir, n_matches`` per request."""
-    exact = resolve_exact(requests, files)
-    misses = exact.filter(F.col("path").isNull() & ~F.col("is_dir"))
-    best = resolve_best(misses, files).select(
-        *_NAME, F.col("path").alias("found"), "n_matches"
-    )
-    answers = exact.join(best, _NAME, "left").select(
+    names = _names(requests)
+    known = _known(files, names)
+    exact = _with_exact(names, known)
+    # only a miss is searched
+    missed = F.col("path").isNull() & ~F.col("is_dir")
+    answers = _with_search(exact, known, files).select(
         *_NAME,
-        F.coalesce("path", "found").alias("path"),
-        F.when(F.col("path").isNotNull() | F.col("is_dir"), "exact")
-        .when(F.col("found").isNotNull(), "search")
-        .alias("strategy"),
+        F.when(missed, F.col("best.path")).otherwise(F.col("path")).alias("path"),
+        F.when(~missed, "exact").when(F.col("n_hits") > 0, "search").alias("strategy"),
         "is_dir",
-        F.coalesce("n_matches", F.when(F.col("path").isNotNull(), 1), F.lit(0))
-        .cast("long")
+        F.when(missed, F.coalesce("n_hits", F.lit(0)))
+        .otherwise(F.col("path").isNotNull().cast("long"))
         .alias("n_matches"),
     )
     # a name may be asked for very often
@@ -209,23 +256,22 @@ def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
 def extract_rows(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Requests with the text of their file; null text where there is none.
 
-    One join serves status, blocks and report. A file asked for many times is
-    repeated once per request, as the output has it.
+    ``resolved`` (staged by the caller) is the small side: where its measured
+    size allows, Spark broadcasts it and content is not shuffled. A file asked
+    for many times is repeated once per request, as the output has it.
     """
-    asked = resolved.select("repo", "path").distinct()
-    read = (
-        files.select("repo", "path", "content")
-        .join(asked, ["repo", "path"], "left_semi")
-        .withColumn("is_binary", T.is_binary(F.col("content")))
-        .withColumn("content", F.when(~F.col("is_binary"), T.decode_text(F.col("content"))))
+    found = resolved.filter(F.col("path").isNotNull())
+    read = found.join(files.select("repo", "path", "content"), ["repo", "path"])
+    binary = T.is_binary(F.col("content"))
+    texts = read.withColumn("status", F.when(binary, "binary").otherwise("extracted")).withColumn(
+        "content", F.when(F.col("status") == "extracted", T.decode_text(F.col("content")))
     )
-    status = (
-        F.when(F.col("is_dir"), "directory")
-        .when(F.col("path").isNull(), "not_found")
-        .when(F.col("is_binary"), "binary")
-        .otherwise("extracted")
+    others = (
+        resolved.filter(F.col("path").isNull())
+        .withColumn("status", F.when(F.col("is_dir"), "directory").otherwise("not_found"))
+        .withColumn("content", F.lit(None).cast("string"))
     )
-    return resolved.join(read, ["repo", "path"], "left").withColumn("status", status)
+    return texts.unionByName(others)
 
 
 def missing_requests(extracted: DataFrame) -> DataFrame:

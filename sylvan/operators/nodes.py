@@ -21,11 +21,11 @@ def nodes_structural(nodes: DataFrame) -> DataFrame:
     adds ``signature``.
     """
     kept = nodes.filter(
-        S.is_structural(F.col("node_type")) & ~S.is_generic(F.col("node_type"))
-    )
-    return kept.withColumn("signature", S.signature(F.col("node_text"))).filter(
-        F.length("signature") > 1
+        S.is_structural(F.col("node_type"))
+        & ~S.is_generic(F.col("node_type"))
+        & (F.length(S.first_line(F.col("node_text"))) > 1)
     )
+    return kept.withColumn("signature", S.signature(F.col("node_text")))
 
 
 def nodes_depth(nodes: DataFrame) -> DataFrame:

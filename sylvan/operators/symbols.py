@@ -7,7 +7,7 @@ A group is one file, which the file size limit bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan import constants as K
@@ -20,11 +20,14 @@ CLASS_INDENTS = (0, 2, 4)
 
 def classified(nodes: DataFrame) -> DataFrame:
     """Add ``kind`` and ``name``; both are null for rows that give no symbol."""
-    kind = S.kind(F.col("node_type"))
-    named = nodes.withColumn("kind", kind).withColumn(
-        "name", S.name_of(F.col("kind"), F.col("signature"))
+    kind, name = F.col("kind"), F.col("name")
+    return (
+        nodes.withColumn("kind", S.kind(F.col("node_type")))
+        .withColumn("name", S.found_text(kind, F.col("signature")))
+        .withColumn("name", S.name_from(kind, name))
+        .withColumn("kind", F.when(name != "", kind))
+        .withColumn("name", F.when(name != "", name))
     )
-    return named.withColumn("kind", F.when(F.col("name").isNotNull(), F.col("kind")))
 
 
 def enclosing_class(rows: DataFrame) -> DataFrame:
@@ -61,18 +64,22 @@ def symbols(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(seq: str, value: str) -> Column:
+    """Distinct values of a group, joined by commas in order of appearance."""
+    by_seq = F.array_sort(F.collect_list(F.struct(seq, value)))
+    return F.array_join(F.array_distinct(F.transform(by_seq, lambda x: x[value])), ",")
+
+
 def names_by_kind(symbol_rows: DataFrame) -> DataFrame:
     """Distinct names per file and kind, in order of first appearance."""
-    return (
-        symbol_rows.groupBy(*_FILE, "kind", "name")
-        .agg(F.min("seq").alias("first_seq"))
-        .groupBy(*_FILE, "kind")
-        .agg(F.expr("listagg(name, ',') WITHIN GROUP (ORDER BY first_seq)").alias("names"))
-    )
+    return symbol_rows.groupBy(*_FILE, "kind").agg(_in_order("seq", "name").alias("names"))
 
 
 def _entries(symbol_rows: DataFrame, facts: list[str]) -> DataFrame:
-    """Entries behind a file name: classes with methods, and plain names."""
+    """Entries behind a file name: classes with methods, and plain names.
+
+    ``methods`` is empty for an entry without any.
+    """
     keep = [F.first(c, ignorenulls=True).alias(c) for c in facts]
     is_method = F.col("parent_class").isNotNull()
     rows = (
@@ -80,15 +87,8 @@ def _entries(symbol_rows: DataFrame, facts: list[str]) -> DataFrame:
         .withColumn("owner", F.when(is_method, F.col("parent_class")).otherwise(F.col("name")))
         .withColumn("method", F.when(is_method, F.col("name")))
     )
-    return (
-        rows.groupBy(*_FILE, "grp", "owner", "method")
-        .agg(F.min("seq").alias("method_seq"), *keep)
-        .groupBy(*_FILE, "grp", "owner")
-        .agg(
-            F.min("method_seq").alias("first_seq"),
-            F.expr("listagg(method, ',') WITHIN GROUP (ORDER BY method_seq)").alias("methods"),
-            *keep,
-        )
+    return rows.groupBy(*_FILE, "grp", "owner").agg(
+        F.min("seq").alias("first_seq"), _in_order("seq", "method").alias("methods"), *keep
     )
 
 
@@ -101,7 +101,12 @@ def class_methods(symbol_rows: DataFrame) -> DataFrame:
     return (
         _entries(symbol_rows, [])
         .filter(F.col("grp") == "cls")
-        .select(*_FILE, F.col("owner").alias("class_name"), "first_seq", "methods")
+        .select(
+            *_FILE,
+            F.col("owner").alias("class_name"),
+            "first_seq",
+            F.when(F.col("methods") != "", F.col("methods")).alias("methods"),
+        )
     )
 
 
@@ -113,10 +118,9 @@ def file_symbols(symbol_rows: DataFrame, facts: list[str] | None = None) -> Data
     """
     facts = facts or []
     keep = [F.first(c, ignorenulls=True).alias(c) for c in facts]
-    entry = F.concat(
-        F.col("owner"),
-        F.coalesce(F.concat(F.lit("("), F.col("methods"), F.lit(")")), F.lit("")),
-    )
+    entry = F.when(
+        F.col("methods") != "", F.concat("owner", F.lit("("), "methods", F.lit(")"))
+    ).otherwise(F.col("owner"))
     rank = F.array_position(F.array(*[F.lit(k) for k in K.KIND_ORDER]), F.col("grp"))
     return (
         _entries(symbol_rows, facts)

@@ -41,16 +41,15 @@ def file_index(texts: DataFrame) -> DataFrame:
 def _shown(pieces: DataFrame) -> DataFrame:
     """The node filters, but as nulls: rows with facts must not get lost."""
     node_type = F.col("node_type")
-    cut = SF.signature(F.col("node_text"))
     shown = (
         SF.is_structural(node_type)
         & ~SF.is_generic(node_type)
-        & (F.length(cut) > 1)
+        & (F.length(SF.first_line(F.col("node_text"))) > 1)
         & (F.col("depth") <= K.MAX_NODE_DEPTH)
     )
     return (
         pieces.withColumn("shown", F.coalesce(shown, F.lit(False)))
-        .withColumn("signature", F.when(F.col("shown"), cut))
+        .withColumn("signature", F.when(F.col("shown"), SF.signature(F.col("node_text"))))
         .withColumn("node_type", F.when(F.col("shown"), node_type))
         .withColumn("indent", F.when(F.col("shown"), N.shown_indent(F.col("depth"))))
     )

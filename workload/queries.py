@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sylvan.functions import language, paths, symbols as S, text as T
 from sylvan.operators import filters, ignore, lookup, nodes as N, outline, settings as cfg, stats
 from sylvan.operators import symbols as SY
-from sylvan.plans import discovery, snapshot
+from sylvan.plans import discovery, extraction, snapshot
 from workload import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,8 +416,7 @@ def resolve(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir):
-    requests, files = _lookup(spark, sf_dir)
-    return lookup.extract_rows(lookup.resolve(requests, files), files)
+    return extraction.extract(*_lookup(spark, sf_dir))
 
 
 @query

@@ -100,8 +100,17 @@ PROFILE_PATHS = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A given table; spread by ``key`` when its scan cannot use the cores.
+
+    The small test tables are one row group each, which one task reads. A table
+    with as many splits as cores is never shuffled here.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if key and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, key)
+    return rows
 
 
 def _pick(values: list, index: Column) -> Column:
@@ -134,7 +143,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text)
     )
     return (
-        table(spark, sf_dir, "documents")
+        table(spark, sf_dir, "documents", "doc_id")
         .select(
             "doc_id",
             _repo(i).alias("repo"),
@@ -161,7 +170,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return (
-        table(spark, sf_dir, "documents")
+        table(spark, sf_dir, "documents", "doc_id")
         .select(
             _repo(i).alias("repo"),
             F.concat(_pick(CODE_DIRS, i % 7 % 6), "lang", i.cast("string"), ext).alias("path"),
@@ -182,7 +191,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     i = F.col("doc_id")
     return (
-        table(spark, sf_dir, "documents")
+        table(spark, sf_dir, "documents", "doc_id")
         .select(
             "doc_id",
             _repo(i).alias("repo"),
@@ -209,7 +218,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1)
     name = F.when(F.endswith(tail, F.lit("/")), F.concat(tail, F.lit("index.html"))).otherwise(tail)
     body = F.when(i % 11 == 0, F.concat(F.lit("\0"), "html")).otherwise(F.col("html"))
-    rows = table(spark, sf_dir, "pages").select(
+    rows = table(spark, sf_dir, "pages", "page_id").select(
         "page_id",
         F.regexp_extract("url", "^https?://[^/]*?([a-z]+[.][a-z]+)/", 1).alias("repo"),
         F.concat(_pick(PAGE_DIRS, i % 9), name).alias("path"),
@@ -237,7 +246,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 7 == 5, name)
         .otherwise(F.concat(F.substring(base, 1, 1), F.lit("?*")))
     )
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages", "page_id").select(
         F.regexp_extract("url", "^https?://[^/]*?([a-z]+[.][a-z]+)/", 1).alias("repo"),
         i.alias("req_no"),
         ask.alias("requested"),
@@ -266,7 +275,7 @@ def ignore_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings text of one project per document; eight different ones."""
     i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", "doc_id").select(
         F.concat("source", F.lit("/d"), i.cast("string")).alias("repo"),
         _pick(SETTINGS, i % len(SETTINGS)).alias("config_json"),
     )
@@ -288,7 +297,7 @@ def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 9 == 1, F.coalesce(_pick(SETTINGS, F.floor(i / 9) % len(SETTINGS)), F.lit("")))
         .otherwise(F.col("text"))
     )
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", "doc_id").select(
         F.concat("source", F.lit("/q"), F.floor(i / 100).cast("string")).alias("repo"),
         _pick(PROFILE_PATHS, i % 9).alias("path"),
         body.cast("binary").alias("content"),
