@@ -27,31 +27,34 @@ KEY_TYPE = "array<struct<kind:int,name:string>>"
 def file_index(texts: DataFrame) -> DataFrame:
     """One narrow row per file: facts and symbol text. Reads content once.
 
-    The outline is made where the content is; only node rows are shuffled, by
-    file, and every step up to the symbol text stays in that partitioning.
+    Nodes are found, classified and named where the content is; what is
+    shuffled, by file, is one row of kind and name per node. Every step from
+    there to the symbol text stays in that partitioning.
     """
     facts = stats.with_facts(texts).withColumn("facts", F.struct(*_FACTS))
-    pieces = outline.outline_pieces(facts, carry=["facts"])
-    marked = S.enclosing_class(S.classified(_shown(pieces)))
-    return S.file_symbols(marked, facts=["facts"]).select(
-        "repo", "path", "facts.*", "symbols"
+    named = S.classified(_signed(outline.outline_rows(facts, carry=["facts"])))
+    placed = outline.with_position(named.drop("node_type", "node_text", "signature"))
+    shown = F.col("depth") <= K.MAX_NODE_DEPTH
+    nested = S.enclosing_class(
+        placed.withColumn("kind", F.when(shown, F.col("kind"))).withColumn(
+            "indent", F.when(shown & F.col("is_node"), N.shown_indent(F.col("depth")))
+        )
     )
+    return S.file_symbols(nested, facts=["facts"]).select("repo", "path", "facts.*", "symbols")
 
 
-def _shown(pieces: DataFrame) -> DataFrame:
-    """The node filters, but as nulls: rows with facts must not get lost."""
-    node_type = F.col("node_type")
-    shown = (
+def _signed(rows: DataFrame) -> DataFrame:
+    """The node filters, but as nulls: the rows with facts must not get lost."""
+    node_type, node_text = F.col("node_type"), F.col("node_text")
+    is_node = (
         SF.is_structural(node_type)
         & ~SF.is_generic(node_type)
-        & (F.length(SF.first_line(F.col("node_text"))) > 1)
-        & (F.col("depth") <= K.MAX_NODE_DEPTH)
+        & (F.length(SF.first_line(node_text)) > 1)
     )
     return (
-        pieces.withColumn("shown", F.coalesce(shown, F.lit(False)))
-        .withColumn("signature", F.when(F.col("shown"), SF.signature(F.col("node_text"))))
-        .withColumn("node_type", F.when(F.col("shown"), node_type))
-        .withColumn("indent", F.when(F.col("shown"), N.shown_indent(F.col("depth"))))
+        rows.withColumn("is_node", F.coalesce(is_node, F.lit(False)))
+        .withColumn("signature", F.when(F.col("is_node"), SF.signature(node_text)))
+        .withColumn("node_type", F.when(F.col("is_node"), node_type))
     )
 
 

@@ -113,6 +113,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -
     return rows
 
 
+def _as_table(rows: DataFrame) -> DataFrame:
+    """Compute the columns once, as if they were stored.
+
+    Without this the filters of a query would be merged into the expressions
+    above and compute the content of a file again for every test on it.
+    """
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return _as_table(rows).withColumn("size", F.octet_length("content").cast("long"))
+
+
 def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -142,15 +155,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 13 == 0, F.concat(F.repeat(F.lit("\x02"), F.floor(n / 4).cast("int")), text))
         .otherwise(text)
     )
-    return (
-        table(spark, sf_dir, "documents", "doc_id")
-        .select(
+    return _sized(
+        table(spark, sf_dir, "documents", "doc_id").select(
             "doc_id",
             _repo(i).alias("repo"),
             F.concat(_pick(FILE_DIRS, i % 12), name).alias("path"),
             body.cast("binary").alias("content"),
         )
-        .withColumn("size", F.octet_length("content").cast("long"))
     )
 
 
@@ -169,14 +180,12 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(_word(line), (n % 3).cast("string")),
         ),
     )
-    return (
-        table(spark, sf_dir, "documents", "doc_id")
-        .select(
+    return _sized(
+        table(spark, sf_dir, "documents", "doc_id").select(
             _repo(i).alias("repo"),
             F.concat(_pick(CODE_DIRS, i % 7 % 6), "lang", i.cast("string"), ext).alias("path"),
             F.array_join(code, "\n").cast("binary").alias("content"),
         )
-        .withColumn("size", F.octet_length("content").cast("long"))
     )
 
 
@@ -190,7 +199,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("seq") % len(ANCESTORS)).cast("int"),
     )
     i = F.col("doc_id")
-    return (
+    return _as_table(
         table(spark, sf_dir, "documents", "doc_id")
         .select(
             "doc_id",
