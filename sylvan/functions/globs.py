@@ -75,7 +75,7 @@ def _body_regex(pattern: Column, choices: bool) -> Column:
     # a backslash takes the special meaning off the next character
     body = F.regexp_replace(pattern, r"\\([A-Za-z0-9/])", "$1")
     body = F.regexp_replace(body, r"\\(.)", f"{_QUOTE}$1")
-    body = F.regexp_replace(body, r"\\", "")
+    body = F.regexp_replace(body, free + r"\\", "")
     # character classes of plain characters and ranges
     body = F.regexp_replace(body, free + r"\[[!^]" + _CLASS + r"\]", f"{_OPEN}^$1{_CLOSE}")
     body = F.regexp_replace(body, free + r"\[" + _CLASS + r"\]", f"{_OPEN}$1{_CLOSE}")
@@ -87,11 +87,11 @@ def _body_regex(pattern: Column, choices: bool) -> Column:
     )
     if choices:
         body = F.regexp_replace(
-            body, free + r"\{([^{}]*,[^{}]*)\}", f"{_EITHER}$1{_DONE}"
+            body, free + r"\{([^{}]*,[^{}]*)" + free + r"\}", f"{_EITHER}$1{_DONE}"
         )
         # the commas of a choice, reached from its start without leaving it
         body = F.regexp_replace(
-            body, f"(?:(?<={_EITHER})|\\G(?!^))([^{_DONE},]*),", f"$1{_OR}"
+            body, f"(?:(?<={_EITHER})|\\G(?!^))((?:{_QUOTE},|[^{_DONE},])*),", f"$1{_OR}"
         )
     # **/ spans any number of directories, /** everything below
     body = F.regexp_replace(body, free + r"\?", _ONE)
