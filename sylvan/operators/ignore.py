@@ -87,30 +87,45 @@ def _runs(rules: Column) -> Column:
     return F.aggregate(rules, empty, step)
 
 
-def _dropped(path: Column, sets: Column, ignore_case: bool) -> Column:
-    flag = F.lit("(?i)" if ignore_case else "")
+def _verdicts(path: Column, base: Column, runs: Column, ignore_case: bool) -> Column:
+    """What one rule file says about each step on the way to a file.
 
-    def verdict(step: Column, is_dir: Column) -> Column:
-        def by_file(so_far: Column, one: Column) -> Column:
-            base = one["base_dir"]
-            below = (base == "") | F.startswith(step, F.concat(base, F.lit("/")))
-            rest = F.when(base == "", step).otherwise(F.substr(step, F.length(base) + 2))
+    One entry per directory, outermost first, and one for the file: true for
+    dropped, false for kept, null where no rule matches.
+    """
+    flag = F.lit("(?i)" if ignore_case else "")
+    silent = F.lit(None).cast("boolean")
 
-            def by_run(said: Column, run: Column) -> Column:
-                hit = (~run["dir_only"] | is_dir) & globs.matches(
-                    rest, F.concat(flag, run["regex"])
-                )
-                return F.when(hit, ~run["negated"]).otherwise(said)
+    def verdict(step: Column, is_dir: bool) -> Column:
+        below = (base == "") | F.startswith(step, F.concat(base, F.lit("/")))
+        rest = F.when(base == "", step).otherwise(F.substr(step, F.length(base) + 2))
 
-            return F.when(below, F.aggregate(one["runs"], so_far, by_run)).otherwise(so_far)
+        def by_run(said: Column, run: Column) -> Column:
+            hit = globs.matches(rest, F.concat(flag, run["regex"]))
+            applies = F.lit(True) if is_dir else ~run["dir_only"]
+            return F.when(applies & hit, ~run["negated"]).otherwise(said)
 
-        return F.aggregate(sets, F.lit(False), by_file)
+        return F.when(below, F.aggregate(runs, silent, by_run))
 
-    return F.exists(paths.ancestor_dirs(path), lambda d: verdict(d, F.lit(True))) | verdict(
-        path, F.lit(False)
+    return F.array_append(
+        F.transform(paths.ancestor_dirs(path), lambda d: verdict(d, True)), verdict(path, False)
     )
 
 
+def _dropped(sets: Column) -> Column:
+    """Deeper rule files overrule outer ones; one dropped step drops the file."""
+    n_steps = F.size(sets[0]["verdicts"])
+
+    def at(i: Column) -> Column:
+        return F.aggregate(
+            sets,
+            F.lit(None).cast("boolean"),
+            lambda said, one: F.coalesce(F.get(one["verdicts"], i), said),
+        )
+
+    return F.exists(F.sequence(F.lit(0), n_steps - 1), lambda i: F.coalesce(at(i), F.lit(False)))
+
+
 def ignored_paths_by(
     files: DataFrame, sources: DataFrame, ignore_case: bool = True
 ) -> DataFrame:
@@ -119,31 +134,30 @@ def ignored_paths_by(
     Only names travel, never content. A file meets the rule files of its own
     ancestor directories, found by equality on ``(repo, base_dir)``, so the
     work per file is bounded by its depth, not by the rules of its project.
+    Rules are applied where they meet the file: behind that only names with
+    a match, and a few booleans, are shuffled.
     """
     rules = rule_files(sources).select("repo", "base_dir", _runs(F.col("rules")).alias("runs"))
-    path = F.col("path")
+    path, base = F.col("path"), F.col("base_dir")
+    levels = F.array_prepend(paths.ancestor_dirs(path), F.lit(""))
     met = join_hot(
-        files.select("repo", "path").select(
-            "repo",
-            "path",
-            F.explode(
-                F.array_prepend(paths.ancestor_dirs(path), F.lit(""))
-            ).alias("base_dir"),
-        ),
+        files.select("repo", "path").select("repo", "path", F.explode(levels).alias("base_dir")),
         rules,
         ["repo", "base_dir"],
         "inner",
         spread="path",
     )
+    said = met.select(
+        "repo",
+        "path",
+        F.length(base).alias("n"),
+        _verdicts(path, base, F.col("runs"), ignore_case).alias("verdicts"),
+    ).filter(F.exists("verdicts", lambda v: v.isNotNull()))
     return (
-        met.groupBy("repo", "path")
+        said.groupBy("repo", "path")
         # at most one entry per directory level
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.length("base_dir").alias("n"), "base_dir", "runs"))
-            ).alias("sets")
-        )
-        .filter(_dropped(path, F.col("sets"), ignore_case))
+        .agg(F.array_sort(F.collect_list(F.struct("n", "verdicts"))).alias("sets"))
+        .filter(_dropped(F.col("sets")))
         .select("repo", "path")
     )
 

@@ -15,11 +15,22 @@ FILES_SCHEMA = "repo string, path string, size bigint, content binary"
 
 
 def read_table(spark: SparkSession, location: str) -> DataFrame:
-    """A files table. Written with ``bucketBy`` or clustered by ``repo``, the
-    project-level joins find their rows with less shuffling."""
+    """A files table in parquet."""
     return spark.read.parquet(location).select("repo", "path", "size", "content")
 
 
+def save_bucketed(files: DataFrame, table: str, buckets: int) -> None:
+    """Store a files table bucketed by file name.
+
+    Lists of rejected or requested names are then joined with it without
+    shuffling content, whatever the length of the list. A bucket holds files
+    of all projects, so a large project fills no bucket more than others.
+    """
+    files.select("repo", "path", "size", "content").repartition(
+        buckets, "repo", "path"
+    ).write.bucketBy(buckets, "repo", "path").sortBy("repo", "path").saveAsTable(table)
+
+
 class _Subtree(InputPartition):
     def __init__(self, repo: str, root: str, below: str, recurse: bool):
         super().__init__(None)

@@ -9,6 +9,7 @@ from sylvan.functions import globs
 from sylvan.operators import filters, ignore
 from sylvan.operators import settings as cfg
 from sylvan.plans import discovery
+from sylvan.sources import corpus
 
 
 def kept(df):
@@ -183,3 +184,21 @@ def test_size_limit_reaches_the_scan(spark, tmp_path, frame):
     df = discovery.discover(spark.read.parquet(str(tmp_path / "f")), gitignore=False).select("repo", "path", "size")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(size,1048576)" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
+def test_bucketed_table_keeps_content_in_place(spark, frame):
+    rows = [("r", f"a{i}.ts" if i % 2 else f"a{i}.log", 1, b"x") for i in range(50)] + [("r", ".gitignore", 5, b"*.log")]
+    df = frame(rows, "repo string, path string, size long, content binary")
+    spark.sql("DROP TABLE IF EXISTS corpus_files")
+    corpus.save_bucketed(df, "corpus_files", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = discovery.discover(spark.table("corpus_files"))
+        assert found.count() == 25
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # the left side of the anti join: scan, filter, sort, and no exchange
+        left = plan.split("LeftAnti")[1].split("Exchange")[0]
+        assert "FileScan" in left and "content" in left
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE corpus_files")

@@ -1,8 +1,7 @@
 import random
+import time
 
 import pytest
-from pyspark.sql import functions as F
-
 from sylvan import constants as K
 from sylvan.functions import symbols as SF
 from sylvan.operators import nodes as N
@@ -184,12 +183,26 @@ def test_lines_and_depth(frame):
     ]
 
 
-def test_long_lines_stay_linear(frame):
-    """A minified file of one line, and prose without any declaration."""
-    one = "var a=" + ",".join(f"f{i}(x{i})" for i in range(30000)) + ";"
-    prose = " ".join(["word"] * 60000)
-    texts = frame([("r", f"{lang}", 1, lang, body) for lang in K.LANGUAGE_EXTENSIONS for body in (one, prose)][::1], TEXTS)
-    assert outline.outline_lines(texts.withColumn("path", F.concat("path", F.length("content").cast("string")))).count() >= 0
+LONG_LINES = [
+    "var a=" + ",".join(f"f{i}(x{i})" for i in range(30000)) + ";",
+    " ".join(["word"] * 60000),
+    "int f(" + "a),b(" * 60000,
+    "static " * 40000,
+    "foo bar(" + "x" * 300000 + ";y",
+    "foo bar(" + "x) " * 100000 + "= ; y",
+    "  m(" + "{" * 200000,
+    "import " + "a, " * 90000,
+    "export { " + "a, " * 90000,
+]
+
+
+def test_long_lines_take_time_in_proportion(frame):
+    """Minified code, prose and worse, in one line of some hundred kilobytes."""
+    rows = [("r", f"{lang}{i}", 1, lang, body) for lang in K.LANGUAGE_EXTENSIONS for i, body in enumerate(LONG_LINES)]
+    texts = frame(rows, TEXTS)
+    start = time.monotonic()
+    assert snapshot.file_index(texts).count() == len(rows)
+    assert time.monotonic() - start < 60
 
 
 def test_one_exchange_for_the_index(frame):
