@@ -48,14 +48,14 @@ def exclude_regex(globs: list[str]) -> str:
 
 # Private-use characters that stand for finished parts of a regex while a
 # pattern column is rewritten step by step.
-_QUOTE, _ONE, _DEEP, _BELOW, _ANY, _OPEN, _CLOSE, _EITHER, _OR, _DONE = (
-    chr(0xE000 + i) for i in range(10)
+_QUOTE, _ONE, _DEEP, _BELOW, _ANY, _OPEN, _CLOSE, _EITHER, _OR, _DONE, _SHOWN = (
+    chr(0xE000 + i) for i in range(11)
 )
+_NOT_HIDDEN = r"(?!\.)"
 _MARKS = [
     (_QUOTE, "\\"),
     (_ONE, "[^/]"),
-    (_DEEP, "(?:[^/]+/)*"),
-    (_BELOW, ".+"),
+    (_SHOWN, _NOT_HIDDEN),
     (_ANY, "[^/]*"),
     (_OPEN, "["),
     (_CLOSE, "]"),
@@ -63,13 +63,22 @@ _MARKS = [
     (_OR, "|"),
     (_DONE, ")"),
 ]
+# spans of directories, with and without hidden ones
+_SPANS = {
+    True: [(_DEEP, "(?:[^/]+/)*"), (_BELOW, ".+")],
+    False: [
+        (_DEEP, f"(?:{_NOT_HIDDEN}[^/]+/)*"),
+        (_BELOW, f"(?:{_NOT_HIDDEN}[^/]+/)*{_NOT_HIDDEN}[^/]+"),
+    ],
+}
 _CLASS = r"([A-Za-z0-9_.~@#%+=,; -]+)"
 
 
-def _body_regex(pattern: Column, choices: bool) -> Column:
+def _body_regex(pattern: Column, choices: bool, hidden: bool = True) -> Column:
     """Wildcards, classes and choices as a regex; anything else as itself.
 
-    Always a valid regex; null for a reversed range such as ``[z-a]``.
+    Always a valid regex; null for a reversed range such as ``[z-a]``. Unless
+    ``hidden``, a wildcard does not match the dot that a name starts with.
     """
     free = f"(?<!{_QUOTE})"
     # a backslash takes the special meaning off the next character
@@ -103,14 +112,25 @@ def _body_regex(pattern: Column, choices: bool) -> Column:
         body, f"(?<![{_QUOTE}{_OPEN}])" + r"([+()|^$*?{}\[\]])", f"{_QUOTE}$1"
     )
     body = F.regexp_replace(body, free + r"\.", f"{_QUOTE}.")
-    for mark, text in _MARKS:
+    if not hidden:
+        body = F.regexp_replace(
+            body, f"(^|/|{_DEEP}|{_EITHER}|{_OR})(?=[{_ONE}{_ANY}{_OPEN}])", f"$1{_SHOWN}"
+        )
+    for mark, text in [*_MARKS, *_SPANS[hidden]]:
         body = F.replace(body, F.lit(mark), F.lit(text))
     return F.when(~is_reversed, body)
 
 
-def glob_regex_column(glob: Column) -> Column:
+def glob_regex_column(glob: Column, hidden: bool = True) -> Column:
     """``glob_regex`` for globs that are data."""
-    return _body_regex(glob, choices=True)
+    return _body_regex(glob, choices=True, hidden=hidden)
+
+
+def search_regex_column(glob: Column) -> Column:
+    """Regex of ``**/glob`` over whole paths; only a dot in the glob finds hidden names."""
+    return F.concat(
+        F.lit(f"^(?:{_NOT_HIDDEN}[^/]+/)*"), glob_regex_column(glob, hidden=False), F.lit("$")
+    )
 
 
 def exclude_regex_column(globs: Column) -> Column:

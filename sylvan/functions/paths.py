@@ -49,11 +49,20 @@ def ancestor_dirs(path: Column) -> Column:
 
 
 def path_suffixes(path: Column) -> Column:
-    """``a/b/c`` → ``[c, b/c, a/b/c]``: every name a search could ask for."""
+    """``a/b/c`` → ``[c, b/c, a/b/c]``: every name a search could ask for.
+
+    Without the suffixes that leave a hidden directory in front: a hidden name
+    is found only when it is asked for.
+    """
     parts = segments(path)
     n_parts = F.size(parts)
+    # the first hidden step must be part of the suffix
+    hidden = F.transform(parts, lambda s: F.startswith(s, F.lit(".")))
+    first_hidden = F.array_position(hidden, F.lit(True)).cast("int")
+    shortest = F.when(first_hidden == 0, 1).otherwise(n_parts - first_hidden + 1)
     return F.transform(
-        parts, lambda _, i: F.array_join(F.slice(parts, n_parts - i, i + 1), "/")
+        F.sequence(shortest, n_parts),
+        lambda n: F.array_join(F.slice(parts, n_parts - n + 1, n), "/"),
     )
 
 
@@ -113,7 +122,10 @@ def path_score(path: Column) -> Column:
     return score
 
 
-def below_any_dir(path: Column, names: list[str]) -> Column:
-    """True where one of the directories above the file has such a name."""
+def in_any_dir(path: Column, names: list[str]) -> Column:
+    """True where a step of the path, a directory or the file, has such a name.
+
+    This is what the globs ``**/name/**`` match.
+    """
     alternatives = "|".join(re.escape(name) for name in names)
-    return path.rlike(f"(^|/)({alternatives})/")
+    return path.rlike(f"(^|/)({alternatives})(/|\\z)")

@@ -38,7 +38,7 @@ def exclude_builtin(files: DataFrame, settings_dir: str = K.SETTINGS_DIR) -> Dat
     path = F.col("path")
     return files.filter(
         ~paths.basename(path).isin(K.LOCKFILES)
-        & ~paths.below_any_dir(path, [K.VCS_DIR, settings_dir])
+        & ~paths.in_any_dir(path, [K.VCS_DIR, settings_dir])
     )
 
 

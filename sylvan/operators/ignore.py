@@ -45,9 +45,11 @@ def rule_files(files: DataFrame) -> DataFrame:
         lambda r: r["regex"].isNotNull(),
     )
     return (
+        # the suffix test reaches the scan
         files.filter(
-            (paths.basename(path) == K.IGNORE_FILE)
-            & ~paths.below_any_dir(path, _UNREAD_DIRS)
+            F.endswith(path, F.lit(K.IGNORE_FILE))
+            & (paths.basename(path) == K.IGNORE_FILE)
+            & ~paths.in_any_dir(path, _UNREAD_DIRS)
         )
         .select(
             "repo",

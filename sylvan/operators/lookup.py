@@ -1,8 +1,8 @@
 """File requests: find the file that a requested name means.
 
 A request is first a path. Only when no file or directory has that path, the
-name is searched: any visible file whose path ends with it, outside a few
-well-known directories, and the best by a score wins. The work goes over
+name is searched: any file whose path ends with it, outside a few well-known
+directories and not below a hidden one, and the best by a score wins. The work goes over
 distinct names, so a name that is asked for often is looked up once.
 """
 
@@ -75,7 +75,7 @@ def _keys_of_file(path: Column) -> Column:
 
 
 def _is_searchable(path: Column) -> Column:
-    return ~paths.is_hidden(path) & ~paths.below_any_dir(path, K.SEARCH_SKIP_DIRS)
+    return ~paths.in_any_dir(path, [*K.SEARCH_SKIP_DIRS, K.SETTINGS_DIR])
 
 
 def _names(requests: DataFrame) -> DataFrame:
@@ -142,12 +142,7 @@ def _glob_hits(files: DataFrame, names: DataFrame) -> DataFrame:
     The only lookup without an equality on the name. Requests are the few rows
     of a project here; its files are spread over sub-keys.
     """
-    patterns = names.withColumn(
-        "regex",
-        F.concat(
-            F.lit("^(?:[^/]+/)*"), globs.glob_regex_column(F.col("requested")), F.lit("$")
-        ),
-    )
+    patterns = names.withColumn("regex", globs.search_regex_column(F.col("requested")))
     # Patterns of a project go in bundles of about PATTERN_BUNDLE, so that the
     # join repeats a file once per bundle and no bundle grows with the requests.
     sizes = patterns.groupBy("repo").agg(

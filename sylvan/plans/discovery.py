@@ -41,6 +41,7 @@ def discover(
     max_depth: int = K.DEFAULT_MAX_DEPTH,
     max_file_size: int = K.DEFAULT_MAX_FILE_SIZE,
     gitignore: bool = True,
+    ignore_files: DataFrame | None = None,
     scope: str | None = None,
     settings_dir: str = K.SETTINGS_DIR,
 ) -> DataFrame:
@@ -50,9 +51,15 @@ def discover(
     settings, its ignore files) becomes a list of rejected names, made without
     touching content, and one anti join: when the list is small Spark
     broadcasts it and content is not shuffled at all.
+
+    ``ignore_files`` is a table that holds the ignore files, when the corpus
+    stores them apart (``corpus.project_files``); without it they are picked
+    from ``files``, which reads the content column once more.
     """
+    rules = files if ignore_files is None else ignore_files
     if scope:
         files = filters.scope_dir(files, scope)
+        rules = filters.scope_dir(rules, scope)
     kept = filters.visible(filters.exclude_builtin(files, settings_dir))
     kept = filters.exclude_globs(kept, exclude or [])
     rejected = []
@@ -61,8 +68,7 @@ def discover(
     else:
         rejected.append(rejected_by_settings(kept, settings))
     if gitignore:
-        # rule files are hidden themselves, so they are read before the filters
-        rules = files.filter(paths.basename(F.col("path")) == K.IGNORE_FILE)
+        # rule files are hidden themselves, so they come from the unfiltered table
         rejected.append(ignore.ignored_paths_by(kept, rules))
     if rejected:
         names = reduce(DataFrame.unionByName, rejected)

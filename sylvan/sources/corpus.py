@@ -9,8 +9,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sylvan import constants as K
+from sylvan.functions import paths
+
 FILES_SCHEMA = "repo string, path string, size bigint, content binary"
 
 
@@ -31,6 +35,19 @@ def save_bucketed(files: DataFrame, table: str, buckets: int) -> None:
     ).write.bucketBy(buckets, "repo", "path").sortBy("repo", "path").saveAsTable(table)
 
 
+def project_files(files: DataFrame, settings_dir: str = K.SETTINGS_DIR) -> DataFrame:
+    """The few files that describe a project: ignore, settings and manifest files.
+
+    Stored apart once (they are tiny), they spare discovery and profiles a
+    pass over the content of the whole corpus.
+    """
+    path = F.col("path")
+    root_names = [f"{settings_dir}/{K.SETTINGS_FILE}", *K.MANIFESTS]
+    # the suffix test reaches the scan
+    is_ignore = F.endswith(path, F.lit(K.IGNORE_FILE)) & (paths.basename(path) == K.IGNORE_FILE)
+    return files.filter(is_ignore | path.isin(root_names))
+
+
 class _Subtree(InputPartition):
     def __init__(self, repo: str, root: str, below: str, recurse: bool):
         super().__init__(None)

@@ -177,6 +177,10 @@ def test_discover(frame):
     own = discovery.discover(df, settings=settings, gitignore=False)
     assert kept(own) == ["e/x.ts", "src/a.ts", "x.log", "z.bin"]
     assert kept(discovery.discover(df, scope="src")) == ["a.ts"]
+    apart = corpus.project_files(df)
+    assert kept(apart) == [".gitignore"]
+    again = discovery.discover(df, exclude=["e"], ignore_files=apart)
+    assert sorted((r["repo"], r["path"], r["language"]) for r in again.collect()) == got
 
 
 def test_size_limit_reaches_the_scan(spark, tmp_path, frame):

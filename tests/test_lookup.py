@@ -30,13 +30,16 @@ def model(request, paths):
         return None, "exact", []
     skip = set(K.SEARCH_SKIP_DIRS)
     hits = []
+    request = request.removeprefix("**/")
     for p in paths:
-        steps = p.split("/")
-        if any(s.startswith(".") for s in steps) or skip & set(steps[:-1]):
+        steps, wanted = p.split("/"), request.split("/")
+        front, tail = steps[: -len(wanted)], steps[-len(wanted):]
+        if any(s.startswith(".") for s in front) or skip & set(steps) or len(steps) < len(wanted):
             continue
-        tail = "/".join(steps[-(request.count("/") + 1):])
-        same_depth = len(steps) >= request.count("/") + 1
-        if same_depth and all(fnmatch.fnmatchcase(a, b) for a, b in zip(tail.split("/"), request.split("/"))):
+        # a wildcard does not stand for a leading dot
+        if all(
+            fnmatch.fnmatchcase(a, b) and not (a.startswith(".") and b[0] in "*?[") for a, b in zip(tail, wanted)
+        ):
             hits.append(p)
     hits.sort(key=lambda p: (score(p), len(p), p))
     return (hits[0], "search", hits) if hits else (None, None, [])
@@ -45,14 +48,14 @@ def model(request, paths):
 def test_resolve_against_brute_force(frame):
     rng = random.Random(4)
     dirs = ["src", "lib", "test", "x", "node_modules", ".cache", "tmp", "dist", "__tests__"]
-    names = ["a.ts", "b.ts", "index.js", "a.ts.bak"]
+    names = ["a.ts", "b.ts", "index.js", "a.ts.bak", ".env", "dist"]
     trees = {}
     for repo in ("r0", "r1", "r2"):
         paths = {"/".join([*rng.choices(dirs, k=rng.randint(0, 3)), rng.choice(names)]) for _ in range(60)}
         trees[repo] = {p for p in paths if not any(q.startswith(p + "/") for q in paths)}
     requests = []
     for repo, paths in trees.items():
-        pool = [*names, "src/a.ts", "x/index.js", "./src/../x/a.ts", "src", "lib/", "gone.x", "*.js", "?.ts", "src/*", "x/?.ts", "test/./a.ts"]
+        pool = [*names, "src/a.ts", "x/index.js", "./src/../x/a.ts", "src", "lib/", "gone.x", "*.js", "?.ts", "src/*", "x/?.ts", "test/./a.ts", ".cache/a.ts", ".env", "*/.env", "*nv", ".*", "**/.env", "dist"]
         requests += [(repo, i, rng.choice([*pool, rng.choice(sorted(paths))])) for i in range(60)]
     files = frame([(r, p, b"x") for r, ps in trees.items() for p in ps], FILES)
     asked = frame(requests, REQUESTS)

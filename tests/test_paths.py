@@ -52,6 +52,10 @@ def test_normalized(evaluate):
 def test_ancestors_and_suffixes(evaluate):
     assert evaluate(paths.ancestor_dirs, ["a", "a/b", "a/b/c"]) == [[], ["a"], ["a", "a/b"]]
     assert evaluate(paths.path_suffixes, ["a", "a/b/c"]) == [["a"], ["c", "b/c", "a/b/c"]]
+    # what is left in front of a suffix must not be hidden
+    assert evaluate(paths.path_suffixes, ["a/.b/c", ".a/b/.c", "a/.b"]) == [
+        [".b/c", "a/.b/c"], [".a/b/.c"], [".b", "a/.b"],
+    ]
 
 
 def test_path_score(evaluate):

@@ -112,7 +112,7 @@ def word(line: str) -> str:
 
 HIDDEN = "regexp_matches(path, '(^|/)\\.')"
 BUILTIN = (
-    f"({base('path')} IN {qin(K.LOCKFILES)} OR regexp_matches(path, '(^|/)(\\.git|\\.snapshot)/'))"
+    f"({base('path')} IN {qin(K.LOCKFILES)} OR regexp_matches(path, '(^|/)(\\.git|\\.snapshot)(/|$)'))"
 )
 # the user globs of the exclude_user query, by hand
 USER_REGEX = (
@@ -555,14 +555,16 @@ def score(path: str) -> str:
     return "(" + " + ".join(parts) + ")::INT"
 
 
-_SKIPPED = "regexp_matches(path, '(^|/)(node_modules|dist|build|coverage)/')"
+_SKIPPED = "regexp_matches(path, '(^|/)(node_modules|dist|build|coverage)(/|$)')"
 cte(
     "hits",
     ["names", "page_files"],
     f"""SELECT n.repo, n.requested, f.path, {score('f.path')} AS score
-FROM names n JOIN (SELECT * FROM page_files WHERE NOT {HIDDEN} AND NOT {_SKIPPED}) f ON f.repo = n.repo AND
-  CASE WHEN contains(n.requested, '?') THEN regexp_matches(f.path, '^([^/]+/)*' || substr(n.requested, 1, 1) || '[^/][^/]*$')
-  ELSE f.path = n.requested OR ends_with(f.path, '/' || n.requested) END""",
+FROM names n JOIN (SELECT * FROM page_files WHERE NOT {_SKIPPED}) f ON f.repo = n.repo AND
+  CASE WHEN contains(n.requested, '?') THEN regexp_matches(f.path, '^([^./][^/]*/)*' || substr(n.requested, 1, 1) || '[^/][^/]*$')
+  WHEN f.path = n.requested THEN true
+  ELSE ends_with(f.path, '/' || n.requested)
+    AND NOT regexp_matches('/' || substr(f.path, 1, length(f.path) - length(n.requested)), '/\\.') END""",
 )
 cte(
     "best",
