@@ -121,20 +121,20 @@ def file_symbols(symbol_rows: DataFrame, facts: list[str] | None = None) -> Data
     entry = F.when(
         F.col("methods") != "", F.concat("owner", F.lit("("), "methods", F.lit(")"))
     ).otherwise(F.col("owner"))
-    rank = F.array_position(F.array(*[F.lit(k) for k in K.KIND_ORDER]), F.col("grp"))
+    by_seq = F.array_sort(F.collect_list(F.struct("first_seq", "grp", "entry")))
+
+    def part(kind: Column) -> Column:
+        mine = F.filter("entries", lambda e: e["grp"] == kind)
+        names = F.array_join(F.transform(mine, lambda e: e["entry"]), ",")
+        return F.when(F.size(mine) > 0, F.concat(kind, F.lit(":"), names))
+
+    # groups without an entry are null, which the join leaves out
+    text = F.array_join(F.transform(F.array(*[F.lit(k) for k in K.KIND_ORDER]), part), " ")
     return (
         _entries(symbol_rows, facts)
         .withColumn("entry", entry)
-        .groupBy(*_FILE, "grp")
-        .agg(
-            F.expr("listagg(entry, ',') WITHIN GROUP (ORDER BY first_seq)").alias("entries"),
-            *keep,
-        )
-        .withColumn("part", F.concat("grp", F.lit(":"), "entries"))
-        .withColumn("rank", rank)
         .groupBy(*_FILE)
-        .agg(
-            F.expr("listagg(part, ' ') WITHIN GROUP (ORDER BY rank)").alias("symbols"),
-            *keep,
-        )
+        .agg(by_seq.alias("entries"), *keep)
+        .withColumn("symbols", F.when(text != "", text))
+        .select(*_FILE, "symbols", *facts)
     )

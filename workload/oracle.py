@@ -584,7 +584,7 @@ FROM requests r JOIN exact e USING (repo, requested) LEFT JOIN best b USING (rep
 cte(
     "extracted",
     ["resolved", "page_files"],
-    f"""SELECT r.*, f.content, CASE WHEN r.is_dir THEN 'directory' WHEN r.path IS NULL THEN 'not_found'
+    f"""SELECT r.*, f.content, CASE WHEN r.path IS NULL THEN CASE WHEN r.is_dir THEN 'directory' ELSE 'not_found' END
   WHEN {is_binary('f.content')} THEN 'binary' ELSE 'extracted' END AS status
 FROM resolved r LEFT JOIN page_files f USING (repo, path)""",
 )
