@@ -7,6 +7,7 @@ Spark's own binary-file source hides names that start with ``_``, so that
 from __future__ import annotations
 
 import os
+import stat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,8 @@ class TreeReader(DataSourceReader):
         self.root = options["path"].rstrip("/")
         self.by_child = options.get("repos", "children") == "children"
         self.wanted = int(options.get("min_partitions", "64"))
+        # files above it are not opened
+        self.max_size = int(options["max_size"]) if "max_size" in options else None
 
     def partitions(self):
         roots = [("", os.path.basename(self.root))]
@@ -86,12 +89,19 @@ class TreeReader(DataSourceReader):
             for name in names:
                 full = os.path.join(folder, name)
                 try:
+                    found = os.stat(full)
+                    # pipes and sockets are no files; unreadable files are skipped
+                    if not stat.S_ISREG(found.st_mode) or self._too_big(found.st_size):
+                        continue
                     with open(full, "rb") as handle:
                         content = handle.read()
                 except OSError:
-                    continue  # unreadable files are skipped
+                    continue
                 yield part.repo, os.path.relpath(full, part.root), len(content), content
 
+    def _too_big(self, size: int) -> bool:
+        return self.max_size is not None and size > self.max_size
+
 
 def _dirs_of(folder: str) -> list[str]:
     with os.scandir(folder) as entries:
@@ -102,7 +112,8 @@ class TreeSource(DataSource):
     """``spark.read.format("source_tree").load(folder)``.
 
     Options: ``repos`` is ``children`` (each sub-folder is a repository) or
-    ``single``; ``min_partitions`` is how far the tree is split up front.
+    ``single``; ``min_partitions`` is how far the tree is split up front;
+    ``max_size`` leaves larger files out without opening them.
     """
 
     @classmethod

@@ -156,6 +156,16 @@ def test_tree_source(spark, tmp_path):
     assert {r["path"] for r in found.collect()} == {"a.py", "__init__.py", "_p/q.py", "d/e/f/g.ts", "__tests__/t.js"}
 
 
+def test_tree_source_skips_what_is_no_file_or_too_big(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "small").write_bytes(b"x" * 10)
+    (tmp_path / "r" / "big").write_bytes(b"x" * 11)
+    os.mkfifo(tmp_path / "r" / "pipe")
+    os.symlink(tmp_path / "r" / "gone", tmp_path / "r" / "dangling")
+    assert {r["path"] for r in corpus.read_tree(spark, str(tmp_path)).collect()} == {"small", "big"}
+    assert [r["path"] for r in corpus.read_tree(spark, str(tmp_path), max_size="10").collect()] == ["small"]
+
+
 def test_staged_tables_go_to_the_shared_folder(spark, frame):
     df = staging.stage(frame([("r", 1)], "repo string, n int"))
     assert df.collect()[0]["n"] == 1
