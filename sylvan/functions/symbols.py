@@ -31,7 +31,11 @@ def first_line(node_text: Column) -> Column:
 
 def signature(node_text: Column) -> Column:
     """First line of a node, trimmed, cut when it is too long."""
-    line = first_line(node_text)
+    return shortened(first_line(node_text))
+
+
+def shortened(line: Column) -> Column:
+    """A trimmed line; behind its arguments, or at a fixed length, when it is long."""
     close = F.instr(line, ")")
     cut_at_call = F.concat(F.substr(line, F.lit(1), close), F.lit(" { ... }"))
     return (

@@ -25,7 +25,9 @@ def nodes_structural(nodes: DataFrame) -> DataFrame:
         & ~S.is_generic(F.col("node_type"))
         & (F.length(S.first_line(F.col("node_text"))) > 1)
     )
-    return kept.withColumn("signature", S.signature(F.col("node_text")))
+    return kept.withColumn("signature", S.first_line(F.col("node_text"))).withColumn(
+        "signature", S.shortened(F.col("signature"))
+    )
 
 
 def nodes_depth(nodes: DataFrame) -> DataFrame:

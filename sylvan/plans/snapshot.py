@@ -44,16 +44,19 @@ def file_index(texts: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """The node filters, but as nulls: the rows with facts must not get lost."""
+    """The node filters, but as nulls: the rows with facts must not get lost.
+
+    The text of an outline row is a trimmed line already.
+    """
     node_type, node_text = F.col("node_type"), F.col("node_text")
     is_node = (
         SF.is_structural(node_type)
         & ~SF.is_generic(node_type)
-        & (F.length(SF.first_line(node_text)) > 1)
+        & (F.length(node_text) > 1)
     )
     return (
         rows.withColumn("is_node", F.coalesce(is_node, F.lit(False)))
-        .withColumn("signature", F.when(F.col("is_node"), SF.signature(node_text)))
+        .withColumn("signature", F.when(F.col("is_node"), SF.shortened(node_text)))
         .withColumn("node_type", F.when(F.col("is_node"), node_type))
     )
 
