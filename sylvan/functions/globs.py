@@ -37,12 +37,14 @@ def glob_regex(glob: str) -> str:
     return "".join(_token_regex(t) for t in _TOKENS.findall(glob))
 
 
-def exclude_regex(globs: list[str]) -> str:
-    """One regex for a list of globs; a matching directory takes all below it.
+# What an exclude glob can do without: a match takes everything below it, so
+# ``dir/**``, ``dir/`` and ``./dir`` all say ``dir``.
+_REDUNDANT = r"^\./|(?<!\*\*)/\*\*$|/$"
 
-    ``dir/**`` also names the directory itself.
-    """
-    bodies = [glob_regex(re.sub(r"(?<=[^*/])/\*\*$", "", g)) for g in globs]
+
+def exclude_regex(globs: list[str]) -> str:
+    """One regex for a list of globs; a matching directory takes all below it."""
+    bodies = [glob_regex(re.sub(_REDUNDANT, "", g)) for g in globs]
     return "^(?:" + "|".join(bodies) + r")(?:/.*)?$" if bodies else r"[^\s\S]"
 
 
@@ -138,7 +140,7 @@ def exclude_regex_column(globs: Column) -> Column:
     bodies = F.filter(
         F.transform(
             globs,
-            lambda g: glob_regex_column(F.regexp_replace(g, r"(?<=[^*/])/\*\*$", "")),
+            lambda g: glob_regex_column(F.regexp_replace(g, _REDUNDANT, "")),
         ),
         lambda regex: regex.isNotNull(),
     )

@@ -46,6 +46,10 @@ def test_user_globs(files):
     assert kept(filters.exclude_globs(df, ["**/docs/**"])) == sorted(set(paths) - {"docs/x/y", "docs", "x/docs/y"})
     assert kept(filters.exclude_globs(df, ["lib/*.{js,ts}", "q?.c"])) == sorted(set(paths) - {"lib/a.js", "lib/b.ts", "q1.c"})
     assert kept(filters.exclude_globs(df, [])) == sorted(paths)
+    for same in ("docs/", "docs/**", "./docs", "doc*/**", "d?cs"):
+        assert kept(filters.exclude_globs(df, [same])) == sorted(set(paths) - {"docs/x/y", "docs"}), same
+        own = df.select("path", globs.exclude_regex_column(F.array(F.lit(same))).alias("re"))
+        assert kept(own.filter(~globs.matches(F.col("path"), F.col("re")))) == sorted(set(paths) - {"docs/x/y", "docs"}), same
 
 
 GLOBS = [
