@@ -169,33 +169,36 @@ def of_format(texts: DataFrame, settings: DataFrame, output_format: str) -> Data
 def llm_input(texts: DataFrame, settings: DataFrame) -> DataFrame:
     """Instruction text and snapshot per project, in the format it asks for.
 
-    ``repo, format, section, position, line``: section -2 is the instruction,
-    -1 a blank, then the snapshot. It stays rows, as every snapshot here, so a
-    project of any size fits; joined by newlines in order it is the input text.
+    ``repo, format, section, key, path, line``: section -2 is the instruction,
+    -1 a blank, then the snapshot, ordered as in ``llm_order``. It stays rows,
+    as every snapshot here, so a project of any size fits; joined by newlines
+    in order it is the input text.
     """
     compact = compact_snapshot(
         of_format(texts, settings, "compact"), opening=[K.PROMPT_COMPACT, ""]
     )
     raw = raw_snapshot(of_format(texts, settings, "raw"), opening=[K.PROMPT_RAW, ""])
     return compact.select(
-        "repo",
-        F.lit("compact").alias("format"),
-        "section",
-        sort_text(F.col("key")).alias("position"),
-        "line",
+        "repo", F.lit("compact").alias("format"), "section", "key", F.lit("").alias("path"), "line"
     ).unionByName(
         raw.select(
             "repo",
             F.lit("raw").alias("format"),
             "section",
-            F.col("path").alias("position"),
+            F.array().cast(KEY_TYPE).alias("key"),
+            "path",
             F.col("block").alias("line"),
         )
     )
 
 
+def llm_order() -> list[Column]:
+    return [F.col("section"), F.col("key"), paths.path_order(F.col("path")), F.col("path")]
+
+
 def sort_text(key: Column) -> Column:
-    """A tree key as text, for display: kinds and names, one step per slash."""
+    """A tree key as text: kinds and names, one step per slash. It shows where a
+    line belongs; only the key itself sorts in tree order."""
     return F.array_join(
         F.transform(key, lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["name"])), "/"
     )

@@ -107,11 +107,11 @@ def test_total_size_rounds_once(frame):
 
 def test_prompts_and_formats(texts, frame):
     settings = cfg.settings_resolve(frame([("org/two", '{"outputFormat": "raw"}')], "repo string, config_json string"))
-    rows = snapshot.llm_input(texts, settings).collect()
-    by_repo = {repo: sorted((r for r in rows if r["repo"] == repo), key=lambda r: (r["section"], r["position"])) for repo in ("org/demo", "org/two")}
+    rows = snapshot.llm_input(texts, settings).orderBy("repo", *snapshot.llm_order()).collect()
+    by_repo = {repo: [r for r in rows if r["repo"] == repo] for repo in ("org/demo", "org/two")}
     assert {r["format"] for r in by_repo["org/demo"]} == {"compact"} and {r["format"] for r in by_repo["org/two"]} == {"raw"}
     demo = [r["line"] for r in by_repo["org/demo"]]
-    assert demo[0] == K.PROMPT_COMPACT and demo[1] == "" and demo[2:8] == COMPACT[:6]
+    assert demo[0] == K.PROMPT_COMPACT and demo[1] == "" and demo[2:] == COMPACT
     two = [r["line"] for r in by_repo["org/two"]]
     assert two == [K.PROMPT_RAW, "", "# two (1 files, 1 lines)", "py:1", "", "=== a.py ===\ndef f(): pass\n"]
 

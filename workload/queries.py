@@ -377,7 +377,11 @@ def snapshot_report(spark, sf_dir):
 def llm_input(spark, sf_dir):
     found = discovery.discover(V.code_files(spark, sf_dir), gitignore=False)
     settings = cfg.settings_resolve(V.repo_settings(spark, sf_dir))
-    return snapshot.llm_input(discovery.read_texts(found), settings)
+    rows = snapshot.llm_input(discovery.read_texts(found), settings)
+    position = F.when(F.col("format") == "compact", snapshot.sort_text(F.col("key")))
+    return rows.select(
+        "repo", "format", "section", position.otherwise(F.col("path")).alias("position"), "line"
+    )
 
 
 # --- lookup -----------------------------------------------------------------
