@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -25,10 +26,10 @@ def duck():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
