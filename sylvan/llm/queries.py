@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, langid, licenses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(modulus: int):
+    """crc32 of the id as text, modulo a number."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(documents.filter(remainder(5) != 0))
+    out = langid.predict(documents.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -18,6 +37,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
 }
 
