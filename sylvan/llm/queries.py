@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses
+from . import common, decontaminate, langid, licenses, packing, pfor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,31 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.mark(documents, table(spark, sf_dir, "benchmark")))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as block files and read back."""
+    path = common.new_path(spark, "token-blocks")
+    pfor.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return pfor.read(spark, path, ids=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, cut into pieces and packed into sequences of 2048 ids."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
+    "op9_token_blocks": op9_token_blocks,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
