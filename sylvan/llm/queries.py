@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, licenses, packing, pfor
+from . import common, decontaminate, langid, licenses, ngram_join, packing, pfor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word sets overlap by three quarters."""
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as block files and read back."""
     path = common.new_path(spark, "token-blocks")
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
+    "op7_ngram_join": op7_ngram_join,
     "op9_token_blocks": op9_token_blocks,
     "op10_packing": op10_packing,
 }
