@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, licenses, ngram_join, packing, pfor
+from . import ann, common, decontaminate, langid, licenses, ngram_join, packing, pfor, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
 
 
+def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector, among all."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -48,6 +53,16 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from two thirds of the labelled ones."""
+    rows = quality.with_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter("quality is not null")
+    labels = labels.groupBy("doc_id").agg(F.avg("quality").alias("label"))
+    labelled = rows.join(labels, "doc_id").filter(remainder(3) != 1)
+    out = quality.score(rows, quality.fit(labelled))
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as block files and read back."""
     path = common.new_path(spark, "token-blocks")
@@ -62,9 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_learned_partitions": op4_learned_partitions,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
+    "op8_quality": op8_quality,
     "op9_token_blocks": op9_token_blocks,
     "op10_packing": op10_packing,
 }
