@@ -111,6 +111,19 @@ def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+# --- packed numbers --------------------------------------------------------
+def squeeze(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def expand(data: bytes | pa.Buffer, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 # --- words -----------------------------------------------------------------
 def folding(word_bytes: bytes) -> np.ndarray:
     """A table that lower-cases A-Z and turns every byte outside words into ``GAP``."""

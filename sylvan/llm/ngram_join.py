@@ -55,18 +55,6 @@ LOW_BITS = 40
 
 
 # --- packed members --------------------------------------------------------
-def squeeze(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def expand(data: bytes | pa.Buffer, width: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 def member_width(ranges: int) -> int:
     return (LOW_BITS + max(ranges - 1, 1).bit_length() + 7) // 8
 
@@ -135,7 +123,7 @@ def _send(batches: Iterable[pa.RecordBatch], ranges: int, words: int) -> Iterato
             some = order[edges[r] : edges[r + 1]]
             if len(some):
                 counts = np.bincount(doc[some], minlength=n_docs).astype("<u4").tobytes()
-                out.append((r, batch_no, counts, squeeze(members[some], LOW_BITS // 8), b""))
+                out.append((r, batch_no, counts, common.squeeze(members[some], LOW_BITS // 8), b""))
         batch_no, held = batch_no + 1, []
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -171,7 +159,7 @@ def _count(number: int, table: pa.Table, width: int) -> pa.Table:
         empty = pa.array([None] * len(table), pa.binary())
         columns = [table["batch"], table["counts"], table["members"], empty, table["ids"]]
         return pa.table(columns, names=names)
-    low = [expand(x.as_py(), LOW_BITS // 8) for x in table["members"]]
+    low = [common.expand(x.as_py(), LOW_BITS // 8) for x in table["members"]]
     sizes = np.array([len(x) for x in low])
     members = np.concatenate(low)
     order = np.argsort(members)
@@ -190,7 +178,7 @@ def _count(number: int, table: pa.Table, width: int) -> pa.Table:
         docs = np.frombuffer(counts.as_py(), "<u4")
         doc = np.repeat(np.arange(len(docs)), docs)[shared]
         left = np.bincount(doc, minlength=len(docs)).astype("<u4").tobytes()
-        packed = squeeze(members[at : at + n][shared], width)
+        packed = common.squeeze(members[at : at + n][shared], width)
         out.append((batch.as_py(), left, packed, own[shared].tobytes(), None))
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -212,7 +200,7 @@ def _collect(percent: int, width: int):
                 n_docs, ids, batch = facts.shape[1], row["ids"], row["batch"]
             else:
                 counts.append(np.frombuffer(row["counts"], "<u4"))
-                members.append(expand(row["members"], width))
+                members.append(common.expand(row["members"], width))
                 classes.append(np.frombuffer(row["classes"], np.uint8))
         doc = [np.repeat(np.arange(n_docs), c) for c in counts]
         doc, members, classes = (
@@ -231,7 +219,7 @@ def _collect(percent: int, width: int):
         numbers = np.frombuffer(ids, "<i8", n_docs)
         null = np.frombuffer(ids, np.uint8, n_docs, 8 * n_docs).astype(bool)
         packed = [
-            squeeze(members[a:b], width) if s else None
+            common.squeeze(members[a:b], width) if s else None
             for s, a, b in zip(stays.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
         ]
         return pa.table(
@@ -292,7 +280,7 @@ def _index(percent: int, width: int):
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                members = expand(row["members"], width)
+                members = common.expand(row["members"], width)
                 own = signatures(row["n"], row["own"], row["rare"], members, percent)
                 k = len(own)
                 if k:
@@ -317,7 +305,7 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int, width: int) ->
             a, b, x, y, n, m = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "x", "y", "n", "m"))
             keep = []
             for u, v, size in zip(x, y, (n.to_numpy() + m.to_numpy()).tolist(), strict=True):
-                both = np.concatenate([expand(u.as_buffer(), width), expand(v.as_buffer(), width)])
+                both = np.concatenate([common.expand(u.as_buffer(), width), common.expand(v.as_buffer(), width)])
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * same >= percent * (size - same))

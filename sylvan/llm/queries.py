@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontaminate, langid, licenses, ngram_join, packing, pfor, quality
+from . import ann, common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, pfor, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages that an earlier one has, and what went."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.deduplicate(documents)
+    bytes_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["last_byte"] - x["first_byte"])
+    return out.select(
+        "doc_id",
+        "text",
+        "removed",
+        F.size("removed").alias("n_removed"),
+        bytes_removed.alias("bytes_removed"),
+        (F.size("removed") > 0).alias("repeats"),
+    )
+
+
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector, among all."""
     return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
@@ -77,6 +92,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op4_learned_partitions": op4_learned_partitions,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
