@@ -19,11 +19,14 @@ are linked when ``100 * |x & y| >= percent * |x | y|``.
    pairs of members are indexed. Members are dealt to ``g`` boxes by hash: of
    ``g + 1`` two are in one box, so pairs within a box are enough, and their
    number grows with the length of the prefix, not with its square.
-4. **Verification.** Within each index entry all documents are checked against
-   the first, links are joined into components, and then only pairs of an
-   entry that are still in different components are checked. So a thousand
-   near copies of one text cost a thousand checks, and no link between
-   components is lost. There is no cap on entries, members or partners.
+4. **Verification.** An entry knows how many members of a set come before it.
+   If that is the first shared member, what is left of both sets must suffice
+   for a link, or the pair is none of this entry. Within each entry all
+   documents are checked against one (that with the fewest members of its
+   own), links are joined into components, and then only pairs of an entry
+   that are still in different components are checked. So a thousand near
+   copies of one text cost a thousand checks, and no link between components
+   is lost. There is no cap on entries, members or partners.
 
 Null texts are empty. Rows with equal ids are separate documents; a component
 is named by its smallest id. The result does not depend on the order of rows.
@@ -254,13 +257,16 @@ def sets(documents: DataFrame, doc_id: str, text: str, words: int, percent: int)
 
 
 # --- 3: combinations -------------------------------------------------------
-def signatures(n: int, own: int, rare: int, members: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of one set: hashes of single rare members and of pairs of frequent ones."""
+def signatures(n: int, own: int, rare: int, members: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of one set: hashes of single rare members and of pairs of
+    frequent ones; and how many members come before the first one shared with
+    a set that is linked by this entry, at least."""
     p = int(prefix(np.int64(n), percent))
     alone = common.mix64(members[: max(0, min(p - own, rare))])
+    place = own + np.arange(len(alone))
     if p - own <= rare or n < 2:
-        return alone
-    out = [alone]
+        return alone, place
+    out = []
     largest = n * 100 // percent
     for scale in range(n.bit_length(), largest.bit_length() + 1):
         boxes = max(1, (1 << scale) // (2 * BOX))
@@ -273,7 +279,8 @@ def signatures(n: int, own: int, rare: int, members: np.ndarray, percent: int) -
                 x, y = np.triu_indices(b - a, 1)
                 pair = np.sort(np.stack([some[order[a:b]][x], some[order[a:b]][y]]), axis=0)
                 out.append(common.mix64(common.mix64(pair[0]) + pair[1] * np.uint64(3) + np.uint64(scale)))
-    return np.unique(np.concatenate(out))
+    pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *out]))
+    return np.concatenate([alone, pairs]), np.concatenate([place, np.full(len(pairs), own + len(alone))])
 
 
 def _index(percent: int, width: int):
@@ -281,7 +288,7 @@ def _index(percent: int, width: int):
         for batch in batches:
             for row in batch.to_pylist():
                 members = common.expand(row["members"], width)
-                own = signatures(row["n"], row["own"], row["rare"], members, percent)
+                own, place = signatures(row["n"], row["own"], row["rare"], members, percent)
                 k = len(own)
                 if k:
                     yield pa.RecordBatch.from_arrays(
@@ -289,8 +296,10 @@ def _index(percent: int, width: int):
                             pa.array(own.view(np.int64)),
                             pa.array(np.full(k, row["key"])),
                             pa.array(np.full(k, row["n"])),
+                            pa.array(place),
+                            pa.array(np.full(k, row["own"])),
                         ],
-                        ["entry", "key", "n"],
+                        ["entry", "key", "n", "place", "own"],
                     )
 
     return index
@@ -352,23 +361,32 @@ def linked_components(documents: DataFrame, doc_id: str, text: str, words: int,
     members = common.stage(
         shared.select("key", "n", "own", "rare", "members").join(first.select("key"), "key", "left_semi"), "members"
     )
-    entries = common.stage(members.mapInArrow(_index(percent, width), "entry long, key long, n long"), "entries")
-    heads = entries.groupBy("entry").agg(F.min_by("n", "key").alias("m"), F.min("key").alias("a"), F.count("*").alias("c"))
-    heads = heads.filter("c > 1").select("entry", "a", "m")
-    near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    crowd = common.stage(entries.join(heads, "entry"), "crowd")
+    shape = "entry long, key long, n long, place long, own long"
+    entries = common.stage(members.mapInArrow(_index(percent, width), shape), "entries")
+    # the head of an entry: the document with the fewest members of its own, as the original of many copies
+    heads = entries.groupBy("entry").agg(
+        F.min(F.struct("own", "key", "n", "place")).alias("head"), F.count("*").alias("c")
+    )
+    heads = heads.filter("c > 1").select(
+        "entry", F.col("head.key").alias("a"), F.col("head.n").alias("m"), F.col("head.place").alias("before")
+    )
+    # what both have from the first shared member on must be enough for a link
+    near = F.expr(f"{100 + percent} * least(n - place, m - before) >= {percent} * (n + m)")
+    crowd = common.stage(entries.join(heads, "entry").drop("own"), "crowd")
     stars = crowd.filter("key <> a").filter(near).select("a", F.col("key").alias("b")).distinct()
     links = verified(stars, members, percent, width)
     found = components(links)
     # entries whose documents are still in several components
-    label = F.coalesce("component", "key")
-    named = crowd.select("entry", "key", "n", "a").join(found, "key", "left").select("entry", "key", "n", "a", label.alias("c"))
-    open_entries = named.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    named = common.stage(named.join(open_entries.select("entry"), "entry", "left_semi"), "open")
-    other = named.select("entry", F.col("key").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    label = F.coalesce("component", "key").alias("c")
+    named = crowd.join(found, "key", "left").select("entry", "key", "n", "place", "a", label)
+    apart = named.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    named = common.stage(named.join(apart.select("entry"), "entry", "left_semi"), "open")
+    other = named.select(
+        "entry", F.col("key").alias("b"), F.col("n").alias("m"), F.col("place").alias("before"), F.col("c").alias("d")
+    )
     rest = (
         named.join(other, "entry")
-        .filter("key < b and c <> d and a <> key")
+        .filter("key < b and c <> d and a <> key and a <> b")
         .filter(near)
         .select(F.col("key").alias("a"), "b")
         .distinct()
