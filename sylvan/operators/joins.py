@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+LEAST_SALTS = 8
+
+
+def salts(left: DataFrame) -> int:
+    """Sub-keys per key: an eighth of the shuffle partitions, so that a key with
+    a third of all rows is no larger than a few partitions."""
+    return max(LEAST_SALTS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
 def join_hot(
@@ -13,11 +19,12 @@ def join_hot(
 ) -> DataFrame:
     """Join where one key may hold a large share of ``left``.
 
-    Rows of ``left`` are spread over ``SALTS`` sub-keys by the column
+    Rows of ``left`` are spread over sub-keys by the column
     ``spread``; ``right``, which has few rows per key, is repeated once per
     sub-key. No hint is given: Spark broadcasts ``right`` when its measured
     size allows it and shuffles by the salted key otherwise.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n = salts(left)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

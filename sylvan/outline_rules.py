@@ -1,9 +1,10 @@
 """Line patterns that make outline nodes, per language.
 
 A rule is ``(node_type, pattern)``; the first that fits a line wins within its
-slot. Patterns see one line, without its line end. They avoid look-around,
-repeat groups a bounded number of times and never put two open-ended classes in
-a row, so that a line of a megabyte costs time in proportion to its length. ``ID`` stands for an identifier.
+slot. Patterns see one line, without its line end, strings and comments blank.
+They avoid look-around, repeat groups possessively and never put two open-ended
+classes in a row, so that a line of a megabyte costs time in proportion to its
+length. ``ID`` stands for an identifier.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ _MODIFIERS = (
     r"override|virtual|readonly|open|data|inner|extern|unsafe|inline|suspend|synchronized|"
     r"native|fileprivate|mutating|required|convenience|factory|external|declare|default|"
     r"export|enum|value|annotation|operator|infix|tailrec|lateinit|companion|indirect|"
-    r"nonisolated|get|set|strictfp|transient|volatile|const|late|covariant|base|mixin)[ \t]+){0,12}"
+    r"nonisolated|get|set|strictfp|transient|volatile|const|late|covariant|base|mixin)[ \t]+)*+"
 )
 # a type in front of a name: words, generics, arrays, pointers
 _TYPE = r"[A-Za-z_][A-Za-z0-9_.<>,\[\]?&*: \t]*[ \t*&>\]]"
@@ -50,10 +51,12 @@ _TYPES_BY_KEYWORD = [
     ("struct_declaration", _B + _MODIFIERS + r"struct[ \t]+ID"),
 ]
 _CONSTRUCTOR = ("constructor_declaration", _B + r"(?:public|private|protected|internal)[ \t]+ID[ \t]*\(")
-_METHOD = ("method_declaration", _B + _MODIFIERS + _TYPE + r"ID" + _ARGS_THEN_BODY)
+# type parameters in front of a return type
+_GENERIC = r"(?:<[^()<>]*+(?:<[^()<>]*+>[^()<>]*+)*+>[ \t]*+)?"
+_METHOD = ("method_declaration", _B + _MODIFIERS + _GENERIC + _TYPE + r"ID" + _ARGS_THEN_BODY)
 _FIELD = (
     "field_declaration",
-    _B + r"(?:(?:public|private|protected|internal|static|final|readonly|const|volatile|transient)[ \t]+){1,12}"
+    _B + r"(?:(?:public|private|protected|internal|static|final|readonly|const|volatile|transient)[ \t]+)++"
     + _TYPE + r"ID[ \t]*(?:=.*|;[ \t]*)$",
 )
 _C_FUNCTION = (
@@ -164,6 +167,28 @@ LOOSE_TYPES = {
 # Words in front of a declaration that belong to the export node.
 EXPORT_PREFIX = r"^[ \t]*export[ \t]+(?:default[ \t]+)?"
 
+# Strings and comments, whose content is no code; the first alternative that
+# fits at a place wins. A comment that never ends goes to the end of the text.
+_LONG = r'"""(?s:.*?)"""'
+_DOUBLE = r'"(?:\\.|[^"\\\n])*+"'
+_SINGLE = r"'(?:\\.|[^'\\\n])*+'"
+_TRIPLE = r"\'\'\'(?s:.*?)\'\'\'"
+_SLASHES = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
+_TICKS = r"`(?:\\(?s:.)|[^`\\])*+`"
+_QUOTED = f"{_DOUBLE}|{_SINGLE}"
+OPAQUE = {
+    "python": f"{_LONG}|{_TRIPLE}|{_QUOTED}|#[^\\n]*+",
+    "rust": r'"(?:\\(?s:.)|[^"\\])*+"|' + r"'(?:\\[^'\n]++|[^'\\\n])'|" + _SLASHES,
+    "go": f"{_TICKS}|{_QUOTED}|{_SLASHES}",
+    "c": f"{_QUOTED}|{_SLASHES}",
+    "cpp": f"{_QUOTED}|{_SLASHES}",
+    **dict.fromkeys(("java", "kotlin", "csharp", "swift"), f"{_LONG}|{_QUOTED}|{_SLASHES}"),
+    "dart": f"{_LONG}|{_TRIPLE}|{_QUOTED}|{_SLASHES}",
+    **dict.fromkeys(_JS_FAMILY, f"{_TICKS}|{_QUOTED}|{_SLASHES}"),
+}
+# What stays of them: line ends and quotes.
+HIDDEN_CHARACTER = r"""[^\n'"`]"""
+
 # Languages whose nesting shows in the indent, not in braces.
 INDENT_LANGUAGES = ["python"]
 INDENT_STEP = 4

@@ -174,7 +174,7 @@ SELECT source || '/r' || (doc_id // 500) AS repo,
   {pick(V.CODE_DIRS, 'doc_id % 7 % 6')} || lang || doc_id || {pick(_codes, f'doc_id % {len(_codes)}')} AS path,
   array_to_string(list_transform(str_split(text, chr(10)), lambda line, n:
     replace(list_extract(list_extract([{', '.join(qlist(V.CODE_LINES[c]) for c in _codes)}], (doc_id % {len(_codes)})::INT + 1), ((n - 1) % 8)::INT + 1),
-      '@', ({word('line')}) || ((n - 1) % 3))), chr(10)) AS content
+      '@', ({word('line')}) || ((n - 1) % 3)) || chr(10) || {pick([V.COMMENT_MARKS.get(c, '// ') for c in _codes], f'doc_id % {len(_codes)}')} || line), chr(10)) AS content
 FROM documents)""",
 )
 cte(
@@ -190,7 +190,7 @@ cte(
     [],
     f"""SELECT repo, path, seq, line,
   {pick([t for t, _ in V.NODES], f'(seq + doc_id) % {_n}')} AS node_type,
-  replace(replace({pick([t for _, t in V.NODES], f'(seq + doc_id) % {_n}')}, '@', {word('raw')}), '~', raw) AS node_text,
+  replace(replace({pick([t if '~' in t else t + V.NODE_COMMENT + '~' for _, t in V.NODES], f'(seq + doc_id) % {_n}')}, '@', {word('raw')}), '~', raw) AS node_text,
   list_extract([{_above}], (seq % {len(V.ANCESTORS)})::INT + 1) AS ancestor_types
 FROM (SELECT doc_id, source || '/r' || (doc_id // 500) AS repo, 'd' || doc_id || '.ts' AS path,
     unnest(str_split(text, chr(10))) AS raw,
@@ -425,10 +425,15 @@ FROM ({_DOC_TEXTS}) d LEFT JOIN (
 # --- outline -----------------------------------------------------------------
 
 
+def linear(pattern: str) -> str:
+    """A pattern for an engine that never goes back, so has no possessive groups."""
+    return pattern.replace("*+", "*").replace("++", "+")
+
+
 def _line_case(rules) -> str:
     loose = f"NOT regexp_matches(line_text, {q(R.NOT_A_DECLARATION)})"
     whens = " ".join(
-        f"WHEN regexp_matches(line_text, {q(R.filled(p))})"
+        f"WHEN regexp_matches(line_text, {q(linear(R.filled(p)))})"
         + (f" AND {loose}" if t in R.LOOSE_TYPES else "")
         + f" THEN {q(t)}"
         for t, p in rules
@@ -443,8 +448,9 @@ _exported = f"CASE WHEN language IN {qin(R.EXPORTS)} AND regexp_matches(line_tex
 cte(
     "code_lines",
     ["code_texts"],
-    """SELECT repo, path, language, unnest(str_split(content, chr(10))) AS line_text,
-  generate_subscripts(str_split(content, chr(10)), 1) AS line FROM code_texts""",
+    # every second line is a comment, without nodes or braces that count
+    """SELECT * FROM (SELECT repo, path, language, unnest(str_split(content, chr(10))) AS line_text,
+  generate_subscripts(str_split(content, chr(10)), 1) AS line FROM code_texts) WHERE line % 2 = 1""",
 )
 cte(
     "outline",

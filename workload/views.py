@@ -24,7 +24,8 @@ CODE_DIRS = ["", "src/", "src/core/", "lib/", "app/models/", "tools/"]
 PAGE_DIRS = [
     "", "src/", "lib/", "test/", "x/test/", "node_modules/", "x/tmp/", ".cache/", "docs/",
 ]
-# language extension and the lines that a text turns into; @ is a word of it
+# language extension and the lines that a text turns into; @ is a word of it.
+# The whole line stands behind each as a comment line.
 CODE_LINES = {
     ".js": ["import { @ } from './lib/@';", "class @ {", "  @(a, b) {", "    const @ = 1;", "  }", "}", "export function @(x) {", "}"],
     ".jsx": ["import @ from '@';", "function @(p) {", "  return <div className=\"@\">x</div>;", "}", "export default class @ {", "  render() {", "  }", "}"],
@@ -42,7 +43,8 @@ CODE_LINES = {
     ".kt": ["package @", "import a.@", "class @ {", "  fun @(a: Int): Int {", "  }", "  val @ = 1", "}", "object @ {"],
     ".md": ["# @", "class @ {", "text @", "", "- @", "}", "function @() {", "."],
 }
-# node type and node text; @ is a word of the line, ~ the whole line
+# node type and node text; @ is a word of the line, ~ the whole line, which
+# otherwise stands behind the text as a comment
 NODES = [
     ("function_declaration", "function @(a, b) {"),
     ("class_declaration", "class @ {"),
@@ -71,6 +73,9 @@ NODES = [
     ("package_clause", "x"),
     ("module", "@ module"),
 ]
+# what starts a comment that goes to the end of its line
+COMMENT_MARKS = {".py": "# ", ".md": "> "}
+NODE_COMMENT = " // "
 ANCESTORS = [
     ["program"],
     ["program", "class_declaration", "class_body"],
@@ -100,17 +105,8 @@ PROFILE_PATHS = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A given table; spread by ``key`` when its scan cannot use the cores.
-
-    The small test tables are one row group each, which one task reads. A table
-    with as many splits as cores is never shuffled here.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if key and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores, key)
-    return rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _as_table(rows: DataFrame) -> DataFrame:
@@ -156,7 +152,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text)
     )
     return _sized(
-        table(spark, sf_dir, "documents", "doc_id").select(
+        table(spark, sf_dir, "documents").select(
             "doc_id",
             _repo(i).alias("repo"),
             F.concat(_pick(FILE_DIRS, i % 12), name).alias("path"),
@@ -166,22 +162,29 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as source code: every line of text gives a line of code."""
+    """``documents`` as source code: every line of text gives a line of code and
+    a comment that holds all of it."""
     i = F.col("doc_id")
     exts = list(CODE_LINES)
     ext = _pick(exts, i % len(exts))
     lines = F.array(*[F.array(*[F.lit(x) for x in CODE_LINES[e]]) for e in exts])
     templates = F.get(lines, (i % len(exts)).cast("int"))
+    mark = _pick([COMMENT_MARKS.get(e, "// ") for e in exts], i % len(exts))
     code = F.transform(
         F.split("text", "\n", -1),
-        lambda line, n: F.replace(
-            F.get(templates, (n % 8).cast("int")),
-            F.lit("@"),
-            F.concat(_word(line), (n % 3).cast("string")),
+        lambda line, n: F.concat(
+            F.replace(
+                F.get(templates, (n % 8).cast("int")),
+                F.lit("@"),
+                F.concat(_word(line), (n % 3).cast("string")),
+            ),
+            F.lit("\n"),
+            mark,
+            line,
         ),
     )
     return _sized(
-        table(spark, sf_dir, "documents", "doc_id").select(
+        table(spark, sf_dir, "documents").select(
             _repo(i).alias("repo"),
             F.concat(_pick(CODE_DIRS, i % 7 % 6), "lang", i.cast("string"), ext).alias("path"),
             F.array_join(code, "\n").cast("binary").alias("content"),
@@ -193,14 +196,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``documents`` as outline nodes."""
     pick = ((F.col("seq") + F.col("doc_id")) % len(NODES)).cast("int")
     types = F.get(F.array(*[F.lit(t) for t, _ in NODES]), pick)
-    texts = F.get(F.array(*[F.lit(t) for _, t in NODES]), pick)
+    shown = [t if "~" in t else f"{t}{NODE_COMMENT}~" for _, t in NODES]
+    texts = F.get(F.array(*[F.lit(t) for t in shown]), pick)
     above = F.get(
         F.array(*[F.array(*[F.lit(a) for a in x]).cast("array<string>") for x in ANCESTORS]),
         (F.col("seq") % len(ANCESTORS)).cast("int"),
     )
     i = F.col("doc_id")
     return _as_table(
-        table(spark, sf_dir, "documents", "doc_id")
+        table(spark, sf_dir, "documents")
         .select(
             "doc_id",
             _repo(i).alias("repo"),
@@ -227,7 +231,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1)
     name = F.when(F.endswith(tail, F.lit("/")), F.concat(tail, F.lit("index.html"))).otherwise(tail)
     body = F.when(i % 11 == 0, F.concat(F.lit("\0"), "html")).otherwise(F.col("html"))
-    rows = table(spark, sf_dir, "pages", "page_id").select(
+    rows = table(spark, sf_dir, "pages").select(
         "page_id",
         F.regexp_extract("url", "^https?://[^/]*?([a-z]+[.][a-z]+)/", 1).alias("repo"),
         F.concat(_pick(PAGE_DIRS, i % 9), name).alias("path"),
@@ -255,7 +259,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 7 == 5, name)
         .otherwise(F.concat(F.substring(base, 1, 1), F.lit("?*")))
     )
-    return table(spark, sf_dir, "pages", "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", "^https?://[^/]*?([a-z]+[.][a-z]+)/", 1).alias("repo"),
         i.alias("req_no"),
         ask.alias("requested"),
@@ -284,7 +288,7 @@ def ignore_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings text of one project per document; eight different ones."""
     i = F.col("doc_id")
-    return table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat("source", F.lit("/d"), i.cast("string")).alias("repo"),
         _pick(SETTINGS, i % len(SETTINGS)).alias("config_json"),
     )
@@ -306,7 +310,7 @@ def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 9 == 1, F.coalesce(_pick(SETTINGS, F.floor(i / 9) % len(SETTINGS)), F.lit("")))
         .otherwise(F.col("text"))
     )
-    return table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat("source", F.lit("/q"), F.floor(i / 100).cast("string")).alias("repo"),
         _pick(PROFILE_PATHS, i % 9).alias("path"),
         body.cast("binary").alias("content"),
