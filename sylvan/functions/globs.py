@@ -1,53 +1,19 @@
-"""Glob patterns as regular expressions.
+"""Glob patterns as regular expressions, as column expressions.
 
-``glob_regex`` translates patterns known when the plan is built;
-``glob_regex_column`` and ``ignore_regex_column`` do the same for patterns that
-are data, as column expressions.
+Patterns of arguments, settings, ignore files and searches all go through the
+same translation. For an argument it is a literal, which Catalyst folds.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One glob token at a time: what it looks like and the regex it stands for.
-_TOKENS = re.compile(r"\*\*/|\*\*|\*|\?|\{[^{}/]*\}|\[!?[^\]/]+\]|.", re.S)
-
-
-def _token_regex(token: str) -> str:
-    if token == "**/":
-        return "(?:[^/]+/)*"
-    if token == "**":
-        return ".*"
-    if token == "*":
-        return "[^/]*"
-    if token == "?":
-        return "[^/]"
-    if len(token) > 1 and token[0] == "{":
-        return "(?:" + "|".join(glob_regex(p) for p in token[1:-1].split(",")) + ")"
-    if len(token) > 1 and token[0] == "[":
-        inner = token[1:-1]
-        return "[^" + inner[1:] + "]" if inner[0] == "!" else "[" + inner + "]"
-    return re.escape(token)
-
-
-def glob_regex(glob: str) -> str:
-    return "".join(_token_regex(t) for t in _TOKENS.findall(glob))
-
-
 # What an exclude glob can do without: a match takes everything below it, so
 # ``dir/**``, ``dir/`` and ``./dir`` all say ``dir``.
 _REDUNDANT = r"^\./|(?<!\*\*)/\*\*$|/$"
 
 
-def exclude_regex(globs: list[str]) -> str:
-    """One regex for a list of globs; a matching directory takes all below it."""
-    bodies = [glob_regex(re.sub(_REDUNDANT, "", g)) for g in globs]
-    return "^(?:" + "|".join(bodies) + r")(?:/.*)?$" if bodies else r"[^\s\S]"
-
-
 # Private-use characters that stand for finished parts of a regex while a
 # pattern column is rewritten step by step.
 _QUOTE, _ONE, _DEEP, _BELOW, _ANY, _OPEN, _CLOSE, _EITHER, _OR, _DONE, _SHOWN = (
@@ -124,7 +90,7 @@ def _body_regex(pattern: Column, choices: bool, hidden: bool = True) -> Column:
 
 
 def glob_regex_column(glob: Column, hidden: bool = True) -> Column:
-    """``glob_regex`` for globs that are data."""
+    """Regex of a glob, without anchors; null for a reversed range."""
     return _body_regex(glob, choices=True, hidden=hidden)
 
 
@@ -136,7 +102,8 @@ def search_regex_column(glob: Column) -> Column:
 
 
 def exclude_regex_column(globs: Column) -> Column:
-    """``exclude_regex`` for an array of globs per row; null when it is empty."""
+    """One regex for an array of globs; a matching directory takes all below it.
+    Null when there is none."""
     bodies = F.filter(
         F.transform(
             globs,

@@ -46,7 +46,8 @@ def exclude_globs(files: DataFrame, patterns: list[str]) -> DataFrame:
     """Drop files that a glob names, and everything below a named directory."""
     if not patterns:
         return files
-    return files.filter(~F.col("path").rlike(globs.exclude_regex(patterns)))
+    regex = globs.exclude_regex_column(F.array(*[F.lit(p) for p in patterns]))
+    return files.filter(~F.coalesce(globs.matches(F.col("path"), regex), F.lit(False)))
 
 
 def scope_dir(files: DataFrame, directory: str) -> DataFrame:

@@ -51,7 +51,7 @@ def _no_hit() -> Column:
     return F.lit(None).cast("struct<score:int,n:int,path:string>")
 
 
-def _keys_of_file(path: Column) -> Column:
+def _keys_of_file(path: Column, settings_dir: str) -> Column:
     """Every name that can lead to a file: its path, its directories, and, when
     a search may find it, its path suffixes."""
     hit = F.struct(
@@ -71,11 +71,11 @@ def _keys_of_file(path: Column) -> Column:
         paths.ancestor_dirs(path), lambda d: entry(d, False, True, _no_hit())
     )
     below = F.transform(paths.path_suffixes(path), lambda s: entry(s, False, False, hit))
-    return F.concat(itself, above, F.when(_is_searchable(path), below).otherwise(F.slice(itself, 1, 0)))
+    return F.concat(itself, above, F.when(_is_searchable(path, settings_dir), below).otherwise(F.slice(itself, 1, 0)))
 
 
-def _is_searchable(path: Column) -> Column:
-    return ~paths.in_any_dir(path, [*K.SEARCH_SKIP_DIRS, K.SETTINGS_DIR])
+def _is_searchable(path: Column, settings_dir: str) -> Column:
+    return ~paths.in_any_dir(path, [*K.SEARCH_SKIP_DIRS, settings_dir])
 
 
 def _names(requests: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def _names(requests: DataFrame) -> DataFrame:
     )
 
 
-def _known(files: DataFrame, names: DataFrame) -> DataFrame:
+def _known(files: DataFrame, names: DataFrame, settings_dir: str) -> DataFrame:
     """What the corpus has under each wanted name, one row per ``repo, key``.
 
     One pass over the file names. Names shared by many files (``src``,
@@ -99,7 +99,7 @@ def _known(files: DataFrame, names: DataFrame) -> DataFrame:
         .filter(F.col("key").isNotNull())
         .distinct()
     )
-    rows = files.select("repo", "path").select("repo", "path", F.inline(_keys_of_file(F.col("path"))))
+    rows = files.select("repo", "path").select("repo", "path", F.inline(_keys_of_file(F.col("path"), settings_dir)))
     return (
         join_hot(rows, wanted, ["repo", "key"], "left_semi", spread="path")
         .groupBy("repo", "key")
@@ -126,17 +126,19 @@ def _with_exact(names: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def resolve_exact(requests: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_exact(
+    requests: DataFrame, files: DataFrame, settings_dir: str = K.SETTINGS_DIR
+) -> DataFrame:
     """``repo, requested, path, is_dir`` per distinct request; path null on a miss.
 
     No filter applies here: a hidden or excluded file can be asked for by path.
     A request that names a directory has ``is_dir`` true and no path.
     """
     names = _names(requests)
-    return _with_exact(names, _known(files, names)).select(*_NAME, "path", "is_dir")
+    return _with_exact(names, _known(files, names, settings_dir)).select(*_NAME, "path", "is_dir")
 
 
-def _glob_hits(files: DataFrame, names: DataFrame) -> DataFrame:
+def _glob_hits(files: DataFrame, names: DataFrame, settings_dir: str) -> DataFrame:
     """Names with wildcards: a pattern test against the files of the project.
 
     The only lookup without an equality on the name. Requests are the few rows
@@ -152,10 +154,13 @@ def _glob_hits(files: DataFrame, names: DataFrame) -> DataFrame:
         patterns.join(sizes, "repo")
         .groupBy("repo", F.pmod(F.xxhash64("requested"), "n_bundles").alias("bundle"))
         .agg(F.collect_list(F.struct("requested", "regex")).alias("patterns"))
+        .withColumn("any", F.array_join(F.col("patterns.regex"), "|"))
     )
     path = F.col("path")
-    searchable = files.select("repo", "path").filter(_is_searchable(path))
+    searchable = files.select("repo", "path").filter(_is_searchable(path, settings_dir))
     met = join_hot(searchable, per_repo, ["repo"], "inner", "path")
+    # one test for the bundle; its patterns one by one only for a file that fits some
+    met = met.filter(globs.matches(path, F.col("any")))
     hits = F.filter("patterns", lambda p: globs.matches(path, p["regex"]))
     return met.select("repo", "path", F.explode(hits).alias("hit")).select(
         "repo", F.col("hit.requested").alias("requested"), "path"
@@ -171,7 +176,9 @@ def _best(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*_NAME).agg(F.min(hit).alias("best"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def resolve_search(requests: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_search(
+    requests: DataFrame, files: DataFrame, settings_dir: str = K.SETTINGS_DIR
+) -> DataFrame:
     """All hits of a search: ``repo, requested, path, score``.
 
     A path ends with the requested name exactly when the name is one of its
@@ -181,31 +188,35 @@ def resolve_search(requests: DataFrame, files: DataFrame) -> DataFrame:
     path = F.col("path")
     suffixes = (
         files.select("repo", "path")
-        .filter(_is_searchable(path))
+        .filter(_is_searchable(path, settings_dir))
         .select("repo", "path", F.explode(paths.path_suffixes(path)).alias("requested"))
     )
     plain = names.filter(~F.col("is_glob")).select(*_NAME)
     hits = join_hot(suffixes, plain, _NAME, "left_semi", spread="path").select(*_NAME, "path")
-    wild = _glob_hits(files, names.filter("is_glob")).select(*_NAME, "path")
+    wild = _glob_hits(files, names.filter("is_glob"), settings_dir).select(*_NAME, "path")
     return hits.unionByName(wild).withColumn("score", paths.path_score(path).cast("int"))
 
 
-def _with_search(names: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
+def _with_search(
+    names: DataFrame, known: DataFrame, files: DataFrame, settings_dir: str
+) -> DataFrame:
     """Add ``best`` and ``n_hits`` of the search for a name; null without a hit."""
     at = known.filter("n_hits > 0").select("repo", F.col("key").alias("requested"), "best", "n_hits")
-    wild = _best(_glob_hits(files, names.filter("is_glob")))
+    wild = _best(_glob_hits(files, names.filter("is_glob"), settings_dir))
     both = at.join(names.filter(~F.col("is_glob")).select(*_NAME), _NAME, "left_semi").unionByName(wild)
     return names.join(both, _NAME, "left")
 
 
-def resolve_best(requests: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_best(
+    requests: DataFrame, files: DataFrame, settings_dir: str = K.SETTINGS_DIR
+) -> DataFrame:
     """``repo, requested, path, score, n_matches``: the preferred hit per name.
 
     Ties go to the shorter path, then by path.
     """
     names = _names(requests)
     return (
-        _with_search(names, _known(files, names), files)
+        _with_search(names, _known(files, names, settings_dir), files, settings_dir)
         .filter("n_hits > 0")
         .select(
             *_NAME,
@@ -216,26 +227,30 @@ def resolve_best(requests: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def alternatives(requests: DataFrame, files: DataFrame) -> DataFrame:
+def alternatives(
+    requests: DataFrame, files: DataFrame, settings_dir: str = K.SETTINGS_DIR
+) -> DataFrame:
     """The other hits of names with more than one, as rows."""
-    best = resolve_best(requests, files).filter("n_matches > 1").select(
+    best = resolve_best(requests, files, settings_dir).filter("n_matches > 1").select(
         *_NAME, F.col("path").alias("best_path")
     )
     return (
-        join_hot(resolve_search(requests, files), best, _NAME, "inner", spread="path")
+        join_hot(resolve_search(requests, files, settings_dir), best, _NAME, "inner", spread="path")
         .filter("path <> best_path")
         .select(*_NAME, "path", "score")
     )
 
 
-def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
+def resolve(
+    requests: DataFrame, files: DataFrame, settings_dir: str = K.SETTINGS_DIR
+) -> DataFrame:
     """``repo, req_no, requested, path, strategy, is_dir, n_matches`` per request."""
     names = _names(requests)
-    known = _known(files, names)
+    known = _known(files, names, settings_dir)
     exact = _with_exact(names, known)
     # only a miss is searched
     missed = F.col("path").isNull() & ~F.col("is_dir")
-    answers = _with_search(exact, known, files).select(
+    answers = _with_search(exact, known, files, settings_dir).select(
         *_NAME,
         F.when(missed, F.col("best.path")).otherwise(F.col("path")).alias("path"),
         F.when(~missed, "exact").when(F.col("n_hits") > 0, "search").alias("strategy"),

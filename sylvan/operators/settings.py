@@ -21,12 +21,18 @@ def settings_rows(files: DataFrame, settings_dir: str = K.SETTINGS_DIR) -> DataF
     )
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def is_json(value: Column) -> Column:
-    return F.try_parse_json(value).isNotNull()
+    """Whether a text is one JSON value and nothing behind it; keys may repeat."""
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", _STRICT)
+    return F.coalesce(F.size(listed) == 1, F.lit(False))
 
 
 def parsed(config_json: Column) -> Column:
-    """Settings as a struct; malformed JSON has no field at all."""
+    """Settings as a struct; malformed JSON has no field at all. The last of a
+    repeated key counts."""
     return F.when(is_json(config_json), F.from_json(config_json, SETTINGS_SCHEMA))
 
 

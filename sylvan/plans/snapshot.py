@@ -192,6 +192,14 @@ def llm_input(texts: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
+def request_input(texts: DataFrame) -> DataFrame:
+    """``repo, prompt``: the instruction to ask for files, for every project with texts.
+
+    The answers are read by ``lookup.requests_from_json``.
+    """
+    return texts.select("repo").distinct().withColumn("prompt", F.lit(K.PROMPT_REQUEST))
+
+
 def llm_order() -> list[Column]:
     return [F.col("section"), F.col("key"), paths.path_order(F.col("path")), F.col("path")]
 

@@ -54,7 +54,7 @@ def test_user_globs(files):
 
 GLOBS = [
     "*.py", "src/**/a?.ts", "{a,b}.js", "{a,b,cc}x,y{d,e}", "a(b).c", "[!x]y", "**", "**/x", "x/**", "[a-c]1",
-    "a+b", "x{", "a.b", "src/*", "**/*.spec.ts",
+    "a+b", "x{", "a.b", "src/*", "**/*.spec.ts", "{src/z,b1}", r"a\+b", "?", "[^x]y",
 ]
 NAMES = [
     "a.py", "x/a.py", "src/ab.ts", "src/q/w/ab.ts", "a.js", "c.js", "ax,ye", "ccx,yd", "a(b).c", "zy", "xy",
@@ -62,12 +62,57 @@ NAMES = [
 ]
 
 
-def test_glob_columns_agree_with_driver_translation(frame):
+def glob_model(glob, name):
+    """A glob read character by character, without regular expressions."""
+    if not glob:
+        return not name
+    if glob.startswith("**/"):
+        rest = glob[3:]
+        return glob_model(rest, name) or any(
+            c == "/" and i and glob_model(rest, name[i + 1 :]) for i, c in enumerate(name)
+        )
+    if glob == "**":
+        return bool(name)
+    if glob[0] == "*":
+        rest = glob.lstrip("*")
+        return any(glob_model(rest, name[i:]) for i in range(len(name.split("/")[0]) + 1))
+    if glob[0] == "?":
+        return bool(name) and name[0] != "/" and glob_model(glob[1:], name[1:])
+    if glob[0] == "{" and "," in glob[: glob.find("}") + 1]:
+        end = glob.index("}")
+        return any(glob_model(choice + glob[end + 1 :], name) for choice in glob[1:end].split(","))
+    if glob[0] == "[" and "]" in glob[2:]:
+        end = glob.index("]", 2)
+        body, negated = glob[1:end], glob[1] in "!^"
+        chars = body[negated:]
+        spans = {chr(c) for x, y in re.findall("(.)-(.)", chars) for c in range(ord(x), ord(y) + 1)}
+        inside = bool(name) and name[0] in spans | set(re.sub(".-.", "", chars))
+        return bool(name) and name[0] != "/" and inside != negated and glob_model(glob[end + 1 :], name[1:])
+    if glob[0] == "\\" and len(glob) > 1:
+        glob = glob[1:]
+    return name[:1] == glob[0] and glob_model(glob[1:], name[1:])
+
+
+def test_globs_agree_with_a_model(frame):
     rows = frame([(g, n) for g in GLOBS for n in NAMES], "g string, n string").select(
         "g", "n", globs.matches(F.col("n"), F.concat(F.lit("^"), globs.glob_regex_column(F.col("g")), F.lit("$"))).alias("hit")
     )
     for r in rows.collect():
-        assert r["hit"] == bool(re.fullmatch(globs.glob_regex(r["g"]), r["n"])), r
+        assert r["hit"] == glob_model(r["g"], r["n"]), r
+
+
+def test_every_entry_point_reads_globs_alike(frame):
+    """Arguments and settings, on patterns of which some are odd."""
+    rng = random.Random(5)
+    odd = ["{src/a,docs}", "a**b", r"a\*b", "{a}", "[z-a].ts", "[[:alpha:]]*", "src/*", "**/b"]
+    odd += ["".join(rng.choices(["a", "b", "/", "*", "**/", "?", "{a,b}", "[ab]", "."], k=rng.randint(1, 5))) for _ in range(30)]
+    paths = ["src/a/x", "docs/y", "ab", "a/b", "a*b", "a", "{a}", "z.ts", "src/a", "b", "b/a.b", "axb", "q/b/c"]
+    df = frame([("r", p, 1, b"") for p in paths], "repo string, path string, size long, content binary")
+    for glob in odd:
+        settings = frame([("r", 9, 9, [glob])], "repo string, max_depth int, max_file_size long, exclude array<string>")
+        by_argument = kept(filters.exclude_globs(df, [glob]))
+        gone = {r["path"] for r in discovery.rejected_by_settings(df, settings).collect()}
+        assert by_argument == sorted(set(paths) - gone), glob
 
 
 def test_any_pattern_gives_a_valid_regex(frame):

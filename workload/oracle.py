@@ -705,8 +705,8 @@ SELECT repo, coalesce(bool_or(path = '.gitignore'), false) AS has_ignore_file,
   array_to_string(list_filter({qlist(K.MANIFESTS)}, lambda m: list_contains(list(path), m)), ',') AS manifests
 FROM rows GROUP BY repo""",
     "path_order": sql(
-        """SELECT repo, str_split(path, '/')[1] AS top, min(path) AS first_path, max(path) AS last_path
-FROM page_files GROUP BY ALL""",
+        """SELECT repo, str_split(path, '/')[1] AS top, path,
+  lag(path) OVER (PARTITION BY repo, str_split(path, '/')[1] ORDER BY path) AS previous_path FROM page_files""",
         "page_files",
     ),
     "dir_rows": sql(dirs("page_files"), "page_files"),
@@ -737,6 +737,18 @@ JOIN repo_limits USING (repo, output_format)""",
         "code_texts",
         "repo_limits",
     ),
+    "request_input": sql(f"SELECT DISTINCT repo, {q(K.PROMPT_REQUEST)} AS prompt FROM code_texts", "code_texts"),
+    "raw_report": sql(
+        f"""SELECT repo, n_files, original_bytes, {format_bytes('original_bytes')} AS original_size, {tokens('original_units')} AS original_tokens,
+  generated_bytes, {format_bytes('generated_bytes')} AS generated_size, {tokens('generated_units')} AS generated_tokens,
+  CASE WHEN original_bytes > generated_bytes THEN {tenths('(original_bytes - generated_bytes)', 1024)} || ' KB' END AS space_saved,
+  CASE WHEN original_bytes < generated_bytes THEN {tenths('(generated_bytes - original_bytes)', 1024)} || ' KB' END AS space_added
+FROM (SELECT repo, count(*) AS n_files, sum(bytes)::BIGINT AS original_bytes, sum(units)::BIGINT AS original_units FROM discovered GROUP BY ALL)
+JOIN (SELECT repo, (sum(strlen(block)) + count(*) - 1)::BIGINT AS generated_bytes, (sum({units('block')}) + count(*) - 1)::BIGINT AS generated_units
+  FROM ({raw('raw_heads', 'discovered')}) GROUP BY ALL) USING (repo)""",
+        "raw_heads",
+        "discovered",
+    ),
     "path_score": sql(f"SELECT repo, path, {score('path')} AS score FROM page_files", "page_files"),
     "resolve_exact": sql("SELECT * FROM exact", "exact"),
     "resolve_search": sql("SELECT repo, requested, path, score FROM hits", "hits"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvan.functions import language, paths, symbols as S, text as T
@@ -327,14 +327,14 @@ def repo_profile(spark, sf_dir):
 # --- order and tree ---------------------------------------------------------
 @query
 def path_order(spark, sf_dir):
-    """First and last page path of every repository and directory, in path order."""
+    """Every page path with the one before it in its repository and top directory."""
     path = F.col("path")
-    key = F.struct(paths.path_order(path).alias("o"), path.alias("p"))
+    top = F.substring_index("path", "/", 1)
+    before = Window.partitionBy("repo", "top").orderBy(paths.path_order(path), path)
     return (
         V.page_files(spark, sf_dir)
-        .groupBy("repo", F.substring_index("path", "/", 1).alias("top"))
-        .agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-        .select("repo", "top", F.col("lo.p").alias("first_path"), F.col("hi.p").alias("last_path"))
+        .select("repo", top.alias("top"), "path")
+        .withColumn("previous_path", F.lag("path").over(before))
     )
 
 
@@ -354,13 +354,13 @@ def tree_lines(spark, sf_dir):
 # --- snapshots --------------------------------------------------------------
 @query
 def raw_snapshot(spark, sf_dir):
-    found = discovery.discover(V.files(spark, sf_dir), gitignore=False)
+    found = discovery.discover(V.files(spark, sf_dir))
     return snapshot.raw_snapshot(discovery.read_texts(found))
 
 
 @query
 def compact_snapshot(spark, sf_dir):
-    found = discovery.discover(V.code_files(spark, sf_dir), gitignore=False)
+    found = discovery.discover(V.code_files(spark, sf_dir))
     return snapshot.compact_snapshot(discovery.read_texts(found)).select(
         "repo", "section", snapshot.sort_text(F.col("key")).alias("position"), "line"
     )
@@ -368,14 +368,14 @@ def compact_snapshot(spark, sf_dir):
 
 @query
 def snapshot_report(spark, sf_dir):
-    found = discovery.discover(V.code_files(spark, sf_dir), gitignore=False)
+    found = discovery.discover(V.code_files(spark, sf_dir))
     index = snapshot.stage(snapshot.file_index(discovery.read_texts(found)))
     return stats.snapshot_report(index, snapshot.compact_lines(index))
 
 
 @query
 def llm_input(spark, sf_dir):
-    found = discovery.discover(V.code_files(spark, sf_dir), gitignore=False)
+    found = discovery.discover(V.code_files(spark, sf_dir))
     settings = cfg.settings_resolve(V.repo_settings(spark, sf_dir))
     rows = snapshot.llm_input(discovery.read_texts(found), settings)
     position = F.when(F.col("format") == "compact", snapshot.sort_text(F.col("key")))
@@ -384,6 +384,20 @@ def llm_input(spark, sf_dir):
     )
 
 
+@query
+def request_input(spark, sf_dir):
+    return snapshot.request_input(_code_texts(spark, sf_dir))
+
+
+@query
+def raw_report(spark, sf_dir):
+    """The run report of the raw format, over all texts of ``files``."""
+    found = discovery.discover(V.files(spark, sf_dir))
+    texts = discovery.read_texts(found)
+    lines = snapshot.raw_snapshot(texts).withColumnRenamed("block", "line")
+    return stats.snapshot_report(stats.with_facts(texts), lines, "raw")
+
+
 # --- lookup -----------------------------------------------------------------
 @query
 def path_score(spark, sf_dir):

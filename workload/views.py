@@ -98,6 +98,7 @@ SETTINGS = [
     '{"outputFormat": "nonsense", "exclude": []}',
     '{"exclude": ["**/*.spec.ts", "docs"], "maxFileSize": 2048}',
     '{"generateSyntaxTree": true, "filesToExtract": ["a.ts", "b.ts"], "maxDepth": 3}',
+    '{"maxDepth": 3} and more',
 ]
 PROFILE_PATHS = [
     ".gitignore", ".snapshot/config.json", "package.json", "pyproject.toml", "Cargo.toml",
