@@ -111,7 +111,7 @@ def pieces(
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
             numbers = batch.column(0).to_pylist()
-            for number, code in zip(numbers, encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for number, code in zip(numbers, encoder.encode(batch.column(1)), strict=True):
                 code = np.append(code, END_ID).astype("<u4")
                 for k, start in enumerate(range(0, len(code), capacity)):
                     own = code[start : start + capacity]

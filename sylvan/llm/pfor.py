@@ -197,7 +197,7 @@ def write(
         end = np.array([END_ID], np.int64)
         for batch in batches:
             numbers = batch.column(0).to_pylist()
-            for number, code in zip(numbers, encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for number, code in zip(numbers, encoder.encode(batch.column(1)), strict=True):
                 own.append(number)
                 ids.append(np.concatenate([code, end]).astype(np.uint32))
                 total += len(ids[-1])

@@ -1,10 +1,11 @@
 """Token ids of whole texts with the ``tokenizers`` library, each different word encoded once.
 
 Both vocabularies below cut a text at white space before they merge, so the
-ids of a text are those of its words in order. Words that a worker has met are
-looked up; the rest are encoded by the library, many at a time. A text with
-white space other than single spaces and line ends, or with ``<|`` (special
-tokens), is encoded as a whole, so ids always equal those of ``encode``.
+ids of a text are those of its words in order. A worker keeps the ids of words
+that it has met, by a 64-bit hash of the word; the library encodes the rest,
+many at a time. A text with white space other than single spaces and line ends
+between words, or with ``<|`` (special tokens), is encoded by the library as a
+whole, so ids always equal those of ``encode``.
 """
 
 from __future__ import annotations
@@ -14,125 +15,147 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from . import common
 
-#: Words that a worker remembers; it starts anew beyond that.
-MAX_WORDS = 1_000_000
-#: Characters of text encoded at once.
-CHUNK_CHARS = 1 << 20
-#: Words in one call of the library.
-TOGETHER = 500
+#: Words that a worker remembers (about 40 bytes each); it starts anew beyond that.
+MAX_WORDS = 2_000_000
+#: Bytes of text encoded at once.
+CHUNK = 1 << 21
+#: Words in one text for the library, and texts in one call.
+TOGETHER, TEXTS = 200, 100
 SENTINEL = "\x02"
-TAIL = frozenset(".,;:!?")
+TAIL = ".,;:!?"
 #: White space within a word, special tokens, and the sentinel.
-UNUSUAL = re.compile(rf"[^\S\n]|<\||{SENTINEL}")
+UNUSUAL = re.compile(rf"\s|<\||{SENTINEL}")
+SPACE, LINE = 0x20, 0x0A
 
 
 class Encoder:
-    """Base of the two kinds; ``pieces`` and ``_encode_words`` differ."""
+    """Base of the two kinds."""
 
-    #: Piece that may not stand twice in a row.
-    lone: str | None = None
-    empty_is_odd = False
+    lower = False
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.tails = {c: self._ids(c)[0] for c in TAIL}
+        self.tails = np.array([self._ids(c)[0] for c in TAIL])
+        self.powers = common.Powers()
+        self.table = np.arange(256, dtype=np.uint8)
+        if self.lower:
+            self.table[65:91] += 32
+        self.table[[SPACE, LINE]] = common.GAP
         self._reset()
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.start = self.length = self.ids = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
         self.odd = np.zeros(0, bool)
-        self._store([""], np.zeros(0, np.int64), np.zeros(1, np.int64), odd=self.empty_is_odd)
-
-    def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray, odd: bool = False) -> None:
-        n = len(self.number)
-        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.ids = np.concatenate([self.ids, ids])
-        self.odd = np.concatenate([self.odd, np.full(len(pieces), odd)])
-
-    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of numbered pieces one after another, and where each ends."""
-        lengths = self.length[index]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[index] - ends + lengths, lengths) + np.arange(total)], ends
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of new words; one that ends in a single mark after a letter is the word and the mark."""
-        if UNUSUAL.search("\0".join(pieces)):
-            odd = [p for p in pieces if UNUSUAL.search(p)]
-            self._store(odd, np.zeros(0, np.int64), np.zeros(len(odd), np.int64), odd=True)
-            pieces = pieces.difference(odd)
-        marked = [p for p in pieces if p[-1] in TAIL and p[-2:-1].isalpha()]
-        bare = [p[:-1] for p in marked]
-        words = sorted(pieces.difference(marked).union(set(bare).difference(self.number)))
-        for lo in range(0, len(words), TOGETHER * 40):
-            some = words[lo : lo + TOGETHER * 40]
-            self._store(some, *self._encode_words(some))
-        if marked:
-            index = np.fromiter(map(self.number.__getitem__, bare), np.int64, len(bare))
-            ids, ends = self._gather(index)
-            tails = np.array([self.tails[p[-1]] for p in marked])
-            self._store(marked, np.insert(ids, ends, tails), self.length[index] + 1)
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.used = 0
+
+    def _library(self, texts: list[str]) -> np.ndarray:
+        """The ids of several texts, one after another."""
+        out = [np.zeros(0, np.int64)]
+        for lo in range(0, len(texts), TEXTS):
+            some = self.library.encode_batch_fast(texts[lo : lo + TEXTS], add_special_tokens=False)
+            out += [np.array(x.ids, np.int64) for x in some]
+        return np.concatenate(out)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their numbers and whether it is odd, for each word. A word that
+        ends in a single mark after a letter is the word and the mark."""
+        odd = np.zeros(len(words), bool)
+        if UNUSUAL.search("\0".join(w[self.lead(w) :] for w in words)):
+            odd = np.array([bool(UNUSUAL.search(w[self.lead(w) :])) for w in words])
+        mark = np.array([TAIL.find(w[-1]) if w[-2:-1].isalpha() else -1 for w in words])
+        bare = [w[:-1] if m >= 0 else w for w, m in zip(words, mark.tolist(), strict=True)]
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for w, o in zip(bare, odd.tolist(), strict=True) if not o))}
+        ids, lengths = self._encode_words(list(number)) if number else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        index = np.array([number.get(w, -1) for w in bare], np.int64)
+        lengths = np.append(lengths, 0)
+        starts = np.cumsum(lengths) - lengths
+        flat, ends = _gather(ids, starts[index], lengths[index])
+        marked = (mark >= 0) & ~odd
+        return np.insert(flat, ends[marked], self.tails[mark[marked]]), lengths[index] + marked, odd
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null is empty."""
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= CHUNK_CHARS):
-                size += len(texts[hi] or "")
-                hi += 1
-            yield from self._chunk([t or "" for t in texts[lo:hi]])
-            lo = hi
-
-    def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        counts = np.array([len(x) for x in cut])
-        flat = [p for x in cut for p in x]
-        if len(self.number) > MAX_WORDS:
+        raw, offsets = common.texts_buffer(texts)
+        for lo, hi in common.chunks(offsets, CHUNK):
+            yield from self._chunk(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+    def _chunk(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        words = common.Words(raw, offsets, self.table)
+        slow, keys, lead = self.gaps(raw, words, words.hashes(self.powers))
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        unique, where = ordered[new], order[new]
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(new) - 1
+        if len(self.keys) + len(unique) > MAX_WORDS:
             self._reset()
-        new = set(flat).difference(self.number)
-        if new:
-            self._learn(new)
-        index = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        odd = self.odd[index]
-        if self.lone is not None and self.lone in self.number:
-            alone = index == self.number[self.lone]
-            odd = odd | (alone & np.concatenate([alone[1:], [False]]))
-        slow = np.concatenate([[0], np.cumsum(odd)])
-        slow = slow[edges[1:]] > slow[edges[:-1]]
-        ids, ends = self._gather(index)
-        ends = np.concatenate([[0], ends])
-        at = ends[edges]
-        for k, text in enumerate(texts):
+        at = np.searchsorted(self.keys, unique)
+        missing = np.ones(len(unique), bool)
+        within = at < len(self.keys)
+        missing[within] = self.keys[at[within]] != unique[within]
+        if missing.any():
+            some = where[missing]
+            a, b = words.start[some].tolist(), words.end[some].tolist()
+            folded = words.folded.tobytes()
+            ids, lengths, odd = self._learn(
+                [x + folded[i:j].decode() for x, i, j in zip(lead(some), a, b, strict=True)]
+            )
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            place = at[missing]
+            self.keys = np.insert(self.keys, place, unique[missing])
+            self.start = np.insert(self.start, place, self.used + np.cumsum(lengths) - lengths)
+            self.length = np.insert(self.length, place, lengths)
+            self.odd = np.insert(self.odd, place, odd)
+            self.used += len(ids)
+            at = np.searchsorted(self.keys, unique)
+        index = at[number]
+        ids, ends = _gather(self.ids, self.start[index], self.length[index].astype(np.int64))
+        edges = np.concatenate([[0], ends])[words.first].tolist()
+        strange = np.concatenate([[0], np.cumsum(self.odd[index])])[words.first]
+        slow = (slow | (np.diff(strange) > 0)).tolist()
+        for k in range(len(offsets) - 1):
             if slow[k]:
-                yield np.array(self._ids(text), np.int64)
+                yield np.array(self._ids(raw[offsets[k] : offsets[k + 1]].tobytes().decode()), np.int32)
             else:
-                yield ids[at[k] + self.extra : at[k + 1]]
+                yield ids[min(edges[k] + self.extra, edges[k + 1]) : edges[k + 1]]
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids one after another, and where each ends."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(starts - ends + lengths, lengths) + np.arange(total)], ends
+
+
+def _joined(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for ids in each for i in ids], np.int64), np.array([len(ids) for ids in each], np.int64)
 
 
 class ByteLevel(Encoder):
     """Byte-level merges: a word takes the space before it along.
 
-    A piece is a word behind one space, or a line end and the word behind it;
-    a line end is set before the text and its id dropped.
+    A word behind a line end, and the first of a text, is encoded behind a line
+    end; the id of the one before the text is dropped. A text whose words stand
+    behind anything else than one space or line end goes to the library whole.
     """
 
-    lone = "\n"
-    empty_is_odd = True
     extra = 1
 
     def __init__(self, path: str) -> None:
@@ -143,14 +166,31 @@ class ByteLevel(Encoder):
             self.bytes[i] = len(token)  # the alphabet has a character for each byte
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+    def lead(word: str) -> int:
+        return 1
+
+    @staticmethod
+    def gaps(raw: np.ndarray, words: common.Words, hashes: np.ndarray):
+        """Texts with unusual gaps, keys of words with what stands before them, and that itself."""
+        n_docs, n = len(words.offsets) - 1, len(words.start)
+        first = np.zeros(n + 1, bool)
+        first[words.first] = True
+        first = first[:n]
+        before = np.concatenate([[0], words.end[:-1]]) if n else np.zeros(0, np.int64)
+        line = first | (raw[np.maximum(words.start - 1, 0)] == LINE)
+        unusual = np.concatenate([[0], np.cumsum(~first & (words.start - before != 1))])
+        slow = np.diff(unusual[words.first]) > 0
+        has = words.counts() > 0
+        slow |= ~has & (np.diff(words.offsets) > 0)  # white space only
+        with_words = np.flatnonzero(has)
+        begin, end = words.start[words.first[:-1][has]], words.end[words.first[1:][has] - 1]
+        slow[with_words] |= (begin != words.offsets[:-1][has]) | (end != words.offsets[1:][has])
+        assert len(slow) == n_docs
+        keys = np.where(line, common.mix64(hashes + np.uint64(1)), hashes)
+        return slow, keys, lambda some: ["\n" if x else " " for x in line[some].tolist()]
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words = [w if w[0] == "\n" else " " + w for w in words]
-        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        encoded = self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.int64) for x in encoded])
+        ids = self._library(["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)])
         ends = np.cumsum([len(w.encode()) for w in words])
         done = np.cumsum(self.bytes[ids])
         cut = np.searchsorted(done, ends)
@@ -163,27 +203,26 @@ class WordLevel(Encoder):
     """Merges with word ends; white space is dropped and case ignored."""
 
     extra = 0
+    lower = True
+
+    @staticmethod
+    def lead(word: str) -> int:
+        return 0
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+    def gaps(raw: np.ndarray, words: common.Words, hashes: np.ndarray):
+        return np.zeros(len(words.offsets) - 1, bool), hashes, lambda some: [""] * len(some)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mark = self._ids(SENTINEL)
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        texts = [f" {SENTINEL} ".join([*g, ""]) for g in groups]
-        encoded = self.library.encode_batch(texts, add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.int64) for x in encoded])
+        ids = self._library([f" {SENTINEL} ".join([*g, ""]) for g in groups])
         cut = np.flatnonzero(ids == mark[0])
         if len(mark) == 1 and len(cut) == len(words):
             return np.delete(ids, cut), np.diff(cut, prepend=-1) - 1
         return _joined([self._ids(w) for w in words])
 
 
-def _joined(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([i for ids in each for i in ids], np.int64), np.array([len(ids) for ids in each], np.int64)
-
-
 KINDS = {"byte": ByteLevel, "word": WordLevel}
 
 
