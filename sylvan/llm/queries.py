@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, pfor, quality
+from . import ann, common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, pfor, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low quality and toxicity of every document, a chain of two categories."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(documents.select("doc_id", "text").join(labels, "doc_id"), ["low_quality", "toxic"])
+    return toxicity.predict(documents, chain, keep=["doc_id"]).withColumn("score", F.col("p_toxic"))
+
+
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector, among all."""
     return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
@@ -93,6 +101,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_learned_partitions": op4_learned_partitions,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
