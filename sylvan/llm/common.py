@@ -74,12 +74,12 @@ def texts_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``limit`` bytes together, or of one longer text."""
+def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` texts of at most ``limit`` bytes together, or of one longer text."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + rows, n)
         yield lo, hi
         lo = hi
 

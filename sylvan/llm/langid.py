@@ -37,8 +37,8 @@ RIDGE = 0.05
 #: Second language at least this share of the first: ambiguous.
 AMBIGUOUS = 0.5
 UNDETERMINED = "und"
-#: Texts are counted in chunks of this many bytes.
-CHUNK = 1 << 18
+#: Texts are counted in chunks of this many bytes and rows.
+CHUNK, ROWS = 1 << 18, 256
 
 
 def codewords(n: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
     table[:128] = 32
     table[97:123] = np.arange(97, 123)
     raw, offsets = common.texts_buffer(pc.utf8_lower(pc.fill_null(column, "")))
-    for lo, hi in common.chunks(offsets, CHUNK):
+    for lo, hi in common.chunks(offsets, CHUNK, ROWS):
         n = hi - lo
         own = table[raw[offsets[lo] : offsets[hi]]]
         sizes = np.diff(offsets[lo : hi + 1])

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, pfor, quality, toxicity
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,5 +113,3 @@ QUERIES = {
     "op9_token_blocks": op9_token_blocks,
     "op10_packing": op10_packing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
