@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Iterator
@@ -27,15 +26,10 @@ INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 # --- folders ---------------------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where nothing is named (a test, one machine) the session gets one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="sylvan-llm-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """The folder that driver and executors share: the one the cluster names for
+    checkpoints, or else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
