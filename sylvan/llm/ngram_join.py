@@ -37,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -417,6 +418,21 @@ def join_classes(
     return linked.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+#: Bits of the filter that spares most texts the shuffle; its size is fixed.
+FILTER_BITS = 1 << 26
+
+
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash in ``hash``, in a table of ``FILTER_BITS``. At most
+    one row for each of its 64-bit words reaches the driver."""
+    word = F.shiftright(F.pmod("hash", F.lit(FILTER_BITS)), 6)
+    bit = F.expr("shiftleft(1L, cast(pmod(hash, 64) AS INT))")
+    found = hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
 def keep_first(
     documents: DataFrame,
     *,
@@ -426,17 +442,32 @@ def keep_first(
     percent: int = PERCENT,
 ) -> DataFrame:
     """The documents without those that are linked, over any number of steps,
-    with one of a smaller id. Of rows with one id and one text, one stays."""
+    with one of a smaller id. Of rows with one id and one text, one stays.
+
+    Documents that go are named by id and hash of the text. A filter of fixed
+    size, broadcast, says which documents may be among them; only these are
+    shuffled to meet the list, all others are kept where they are.
+    """
     _, classes = linked_components(documents, doc_id, text, words, percent)
     first = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    gone = classes.join(first, "component")
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    gone = classes.join(first, "component").filter(~same).select("doc_id", "text_hash").distinct()
+    gone = common.stage(gone.withColumn("hash", F.xxhash64("doc_id", "text_hash")), "gone")
+    # rows that stand more than once: one of them stays
     copies = classes.groupBy("component", "doc_id", "text_hash").count().filter("count > 1")
+    copies = common.stage(copies.select(F.xxhash64("doc_id", "text_hash").alias("hash")), "copies")
+    bits = documents.sparkSession.sparkContext.broadcast(filter_of(gone.select("hash").unionByName(copies)))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy() % FILTER_BITS
+        return pd.Series((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
+
     df = common.inner(documents)
-    number = F.col(f"_c{documents.columns.index(doc_id)}").cast("long")
-    df = df.withColumn("_h", F.xxhash64(f"_c{documents.columns.index(text)}"))
-    if not copies.isEmpty():
-        df = df.dropDuplicates([f"_c{documents.columns.index(doc_id)}", "_h"])
-    gone = gone.filter(~same).select("doc_id", "text_hash").distinct()
-    kept = df.join(gone, number.eqNullSafe(gone["doc_id"]) & (F.col("_h") == gone["text_hash"]), "left_anti")
+    number, body = (f"_c{documents.columns.index(c)}" for c in (doc_id, text))
+    df = df.withColumn("_h", F.xxhash64(body)).withColumn("_n", F.col(number).cast("long"))
+    df = df.withColumn("_maybe", maybe(F.xxhash64("_n", "_h")))
+    clear, doubtful = df.filter(~F.col("_maybe")), df.filter("_maybe")
+    listed = doubtful["_n"].eqNullSafe(gone["doc_id"]) & (doubtful["_h"] == gone["text_hash"])
+    kept = clear.unionByName(doubtful.dropDuplicates(["_n", "_h"]).join(gone, listed, "left_anti"))
     return kept.select(*common.outer(kept, documents.columns))
