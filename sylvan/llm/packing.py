@@ -73,20 +73,22 @@ def _dissolve(
     order = np.argsort(sequence, kind="stable")
     edges = np.searchsorted(sequence[order], [[number, number + 1] for _, number in gaps])
     own = {number: order[a:b].tolist() for (_, number), (a, b) in zip(gaps, edges.tolist(), strict=True)}
-    while len(gaps) > 1:
-        _, number = gaps.pop()
-        moved, left = [], gaps.copy()
+    for number in [number for _, number in reversed(gaps)]:
+        moved, left = [], [x for x in gaps if x[1] != number]
         for i in sorted(own[number], key=lambda i: -lengths[i]):
             at = bisect.bisect_left(left, (int(lengths[i]), -1))
             if at == len(left):
-                return
+                break
             gap, other = left.pop(at)
             moved.append((i, other, capacity - gap))
             if gap > lengths[i]:
                 bisect.insort(left, (gap - int(lengths[i]), other))
+        if len(moved) < len(own[number]):
+            continue
         for i, other, start in moved:
             sequence[i], offset[i] = other, start
             own[other].append(i)
+        own[number] = []
         gaps = left
 
 

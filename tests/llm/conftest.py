@@ -2,7 +2,10 @@ import os
 import random
 import sys
 
-import pytest
+# linear algebra threads of the driver would wait for each other on a busy machine
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 

@@ -151,7 +151,7 @@ def test_small_tables_are_exact_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.integers(0, 2, 6).astype(float).tolist()) for i in range(1, 400)]
     rows = [(i, v if any(v) else [1.0] * 6) for i, v in rows] + [(400, [1.0] * 6)]
-    bad = [(500, None), (600, [0.0] * 6), (700, [1.0, None, 0, 0, 0, 0]), (800, [float("nan")] * 6), (900, [float("inf")] * 6), (1000, [1.0])]
+    bad = [(500, None), (600, [0.0] * 6), (700, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (800, [float("nan")] * 6), (900, [float("inf")] * 6), (1000, [1.0])]
     got = searched(spark, rows + bad)
     assert {q: [x[:2] for x in r] for q, r in got.items()} == exact(rows)
     assert all([x[2] for x in r] == list(range(1, 11)) for r in got.values())
@@ -271,7 +271,7 @@ def test_places_are_gapless(lengths):
 def test_few_sequences():
     n = np.random.default_rng(4).integers(1, 2048, 20_000)
     sequence, _ = packing.place(n)
-    assert sequence.max() + 1 <= 1.01 * n.sum() / 2048 + 1
+    assert sequence.max() + 1 <= 1.025 * n.sum() / 2048 + 1
 
 
 def test_packed_table_and_sequences(spark):
