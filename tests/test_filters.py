@@ -255,3 +255,19 @@ def test_bucketed_table_keeps_content_in_place(spark, frame):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE corpus_files")
+
+
+def test_an_argument_outweighs_settings(frame):
+    df = frame([("r", p, 5, b"x") for p in ("a.ts", "a/b.ts", "a/b/c.ts")], "repo string, path string, size long, content binary")
+    own = cfg.settings_resolve(frame([("r", '{"maxDepth": 2, "maxFileSize": 9}')], "repo string, config_json string"))
+    found = lambda **k: kept(discovery.discover(df, settings=own, gitignore=False, **k))
+    assert found() == ["a.ts", "a/b.ts"]
+    assert found(max_depth=1) == ["a.ts"] and len(found(max_depth=3)) == 3
+    assert found(max_file_size=4) == [] and found(max_depth=0) == []
+
+
+def test_validity_of_settings(frame):
+    texts = ['{"maxDepth": 3, "maxDepth": 4}', '{"maxDepth": 3} trailing', '{"maxDepth": 3', "{'maxDepth': 3}", "", None, " {} ", '{"maxDepth": 3}{}']
+    rows = frame([(str(i), t) for i, t in enumerate(texts)], "repo string, config_json string")
+    got = {r["repo"]: r["max_depth"] for r in cfg.settings_resolve(rows).collect()}
+    assert [got[str(i)] for i in range(len(texts))] == [4, 10, 10, 10, 10, 10, 10, 10]
