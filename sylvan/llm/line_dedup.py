@@ -6,10 +6,13 @@ another. Units are normalised: A-Z in lower case, only letters, digits and
 bytes above ASCII count. A window is the shortest run of whole units of one
 text, from each unit forward and from each unit backward, with at least
 ``min_words`` words (a word longer than 24 bytes counts as several, for scripts
-without spaces). Digests of all windows are grouped over all documents. The
-occurrence with the smallest document id, then the first place, stays; the
-units of every other occurrence are removed. Shorter repeats (a common
-sentence, a notice) are left; ``min_words=1`` removes every repeated unit.
+without spaces). Beside the windows, every whole line of fewer words and every
+whole paragraph (lines up to a blank one) is a passage of its own, down to a
+line of one word; longer lines are covered by their windows. Digests of all of
+them are grouped over all documents. The occurrence with the smallest document
+id, then the first place, stays; the units of every other occurrence are
+removed. Only repeats of fewer than ``min_words`` words amid a line are left;
+``min_words=1`` removes every repeated unit.
 
 Digests travel packed, five bytes each, cut into ranges; a task has all
 digests of a range and answers with those that a document has to give up.
@@ -57,9 +60,25 @@ def _capital(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((first >= 65) & (first <= 90)) | latin | greek | cyrillic
 
 
+def _line_edges(raw: np.ndarray, words: common.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Which words begin a line, and which a paragraph."""
+    n = len(words.start)
+    line, paragraph = np.zeros(n, bool), np.zeros(n, bool)
+    if n:
+        ends = []
+        for mark in b"\n\r":
+            seen = np.concatenate([[0], np.cumsum(raw == mark)])
+            ends.append(seen[words.start[1:]] - seen[words.end[:-1]])
+        breaks = np.maximum(*ends)  # both marks together are one line end
+        line[1:], paragraph[1:] = breaks > 0, breaks > 1
+        first = words.first[words.first < n]
+        line[first] = paragraph[first] = True
+    return line, paragraph
+
+
 class Windows:
-    """The windows of a chunk of texts, by text and place: first word, word
-    behind the last, digest."""
+    """The windows, short lines and paragraphs of a chunk of texts, by text and
+    place: first word, word behind the last, digest."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, table, powers: common.Powers, min_words: int) -> None:
         self.words = words = common.Words(raw, offsets, table)
@@ -73,7 +92,8 @@ class Windows:
             edge[words.first[words.first < n]] = True
         unit = np.append(np.flatnonzero(edge), n)
         weight = 1 + (words.end - words.start) // LONG_WORD
-        total = np.concatenate([[0], np.cumsum(weight)])[unit]
+        upto = np.concatenate([[0], np.cumsum(weight)])
+        total = upto[unit]
         up, down = powers.upto(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((hashes | np.uint64(1)) * up[:n], out=sums[1:])
@@ -87,11 +107,16 @@ class Windows:
         first = np.searchsorted(unit, words.first[:-1])
         back_ok = (back >= first[doc]) if n else np.zeros(0, bool)
         back_ok &= end[np.maximum(back, 0)] != back_end if n else back_ok
-        a = unit[np.concatenate([begin[ok], back[back_ok]])]
-        b = unit[np.concatenate([end[ok], back_end[back_ok]])]
-        of = np.concatenate([doc[ok], doc[back_ok]])
-        order = np.lexsort((b, a, of))
-        self.a, self.b, self.doc = a[order], b[order], of[order]
+        line, paragraph = (np.append(np.flatnonzero(x), n) for x in _line_edges(raw, words))
+        short = upto[line[1:]] - upto[line[:-1]] < min_words
+        a = np.concatenate([unit[begin[ok]], unit[back[back_ok]], line[:-1][short], paragraph[:-1]])
+        b = np.concatenate([unit[end[ok]], unit[back_end[back_ok]], line[1:][short], paragraph[1:]])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)  # a window, a line and a paragraph may be the same words
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.a, self.b = a[new], b[new]
+        self.doc = np.searchsorted(words.first, self.a, "right") - 1
         length = (self.b - self.a).astype(np.uint64)
         self.digest = common.mix64((sums[self.b] - sums[self.a]) * down[self.a] + length * np.uint64(0x9E3779B9))
 

@@ -222,3 +222,15 @@ def test_every_unit_goes_with_one_word_windows(documents):
     rows = [(1, "Alpha beta.\nGamma."), (2, "Gamma.\nAlpha beta.\nDelta."), (3, "delta")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(documents(rows), min_words=1).collect()}
     assert got == {1: rows[0][1], 2: "Delta.", 3: ""}
+
+
+def test_short_lines_and_paragraphs_go_as_wholes(documents, prose):
+    line = "The sun and moon, over stone. River under light."
+    rows = [(i, f"{prose(300 + i, 30)}\n{line}\n{prose(400 + i, 30)}") for i in range(40)]
+    rows += [(50, prose(350, 30) + " " + line + " " + prose(351, 30))]  # amid a line it is too short
+    rows += [(60, "Les.\r\nOne more line of doc sixty"), (61, "sixty one starts\nles!\nles"), (62, "LES")]
+    rows += [(70, "blue tree wind\nroad field house\n\nseventy ends so"), (71, "seventyone\n\nblue tree\nwind road field house")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(documents(rows)).repartition(3).collect()}
+    assert got[0] == rows[0][1] and got[50] == rows[40][1] and got[60] == rows[41][1] and got[70] == rows[44][1]
+    assert all(got[i] == rows[i][1].replace(line + "\n", "") for i in range(1, 40))
+    assert got[61] == "sixty one starts\n" and got[62] == "" and got[71].rstrip() == "seventyone"
