@@ -14,7 +14,7 @@ id, then the first place, stays; the units of every other occurrence are
 removed. Only repeats of fewer than ``min_words`` words amid a line are left;
 ``min_words=1`` removes every repeated unit.
 
-Digests travel packed, five bytes each, cut into ranges; a task has all
+Digests travel packed, all 64 bits of each, cut into ranges; a task has all
 digests of a range and answers with those that a document has to give up.
 There is no limit on how often a digest may occur.
 
@@ -40,7 +40,7 @@ RANGE_DIGESTS = 1_000_000
 BATCH_DIGESTS = 400_000
 #: Bytes of text per digest, about; only the number of ranges comes from it.
 BYTES_PER_DIGEST = 20
-LOW_BITS = 40
+DIGEST_BYTES = 8
 LONG_WORD = 24
 
 
@@ -148,7 +148,7 @@ def _send(batches: Iterable[pa.RecordBatch], ranges: int, min_words: int) -> Ite
             if len(some):
                 counts = np.bincount(doc[some], minlength=n_docs).astype("<u4")
                 has = counts > 0
-                packed = common.squeeze(digests[some], LOW_BITS // 8)
+                packed = common.squeeze(digests[some], DIGEST_BYTES)
                 out.append((r, batch_no, counts[has].tobytes(), packed, ids[has].astype("<i8").tobytes()))
         batch_no, held = batch_no + 1, []
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -174,10 +174,10 @@ def _send(batches: Iterable[pa.RecordBatch], ranges: int, min_words: int) -> Ite
 GIVEN = "id long, hash long, digests binary, own binary"
 
 
-def _repeats(number: int, table: pa.Table) -> pa.Table:
+def _repeats(table: pa.Table) -> pa.Table:
     """For each document the digests of one range that it has to give up, and
     whether it keeps the first place of one itself (``own``)."""
-    digests = [common.expand(x.as_py(), LOW_BITS // 8) for x in table["digests"]]
+    digests = [common.expand(x.as_py(), DIGEST_BYTES) for x in table["digests"]]
     ids = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in table["ids"]])
     counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]])
     digests = np.concatenate(digests)
@@ -201,7 +201,7 @@ def _repeats(number: int, table: pa.Table) -> pa.Table:
     lead[1:] |= r[1:] != r[:-1]
     keep = lead & (~own | (np.diff(np.append(np.flatnonzero(lead), len(d)))[np.cumsum(lead) - 1] > 1))
     keep &= size[group] > 1
-    d, r, own = d[keep] | np.uint64(number << LOW_BITS), r[keep], own[keep]
+    d, r, own = d[keep], r[keep], own[keep]
     order = np.argsort(r, kind="stable")
     d, r, own = d[order], r[order], own[order]
     ranks, begin = np.unique(r, return_index=True)
@@ -236,7 +236,7 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 REMOVED = "removed array<struct<first_byte:long,last_byte:long>>"
 
 
-def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, ranges: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, min_words: int) -> Iterator[pa.RecordBatch]:
     table, powers = common.folding(common.LETTERS_DIGITS), common.Powers()
     names = [f"_c{i}" for i in range(n)]
     kind = pa.list_(pa.struct([("first_byte", pa.int64()), ("last_byte", pa.int64())]))
@@ -251,9 +251,7 @@ def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, ranges: int, m
             a = offsets[row]
             body = raw[a : offsets[row + 1]]
             found = Windows(body, np.array([0, len(body)]), table, powers, min_words)
-            of = ((found.digest >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            low = found.digest & np.uint64((1 << LOW_BITS) - 1)
-            digest = low | (of << np.uint64(LOW_BITS))
+            digest = found.digest
             lost = np.frombuffer(b"".join(blobs), "<u8")
             mine = np.frombuffer(b"".join(own[row]), np.uint8).astype(bool)
             # of its own repeats a document keeps the words of the first
@@ -289,7 +287,7 @@ def _deduplicated(documents: DataFrame, doc_id: str, text: str, min_words: int)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(size // (BYTES_PER_DIGEST * RANGE_DIGESTS)) + 1
     sent = rows.mapInArrow(lambda it: _send(it, ranges, min_words), SENT)
-    given = sent.groupBy("range").applyInArrow(lambda key, t: _repeats(key[0].as_py(), t), GIVEN)
+    given = sent.groupBy("range").applyInArrow(_repeats, GIVEN)
     # at most one entry for each range
     given = given.groupBy("id", "hash").agg(F.collect_list(F.struct("digests", "own")).alias("all"))
     given = given.select("id", "hash", F.col("all.digests").alias("digests"), F.col("all.own").alias("own"))
@@ -298,7 +296,7 @@ def _deduplicated(documents: DataFrame, doc_id: str, text: str, min_words: int)
     )
     n, at = len(documents.columns), documents.columns.index(text)
     return joined.select(*df.columns, "digests", "own").mapInArrow(
-        lambda it: _remove(it, at, n, ranges, min_words), f"{common.ddl(df)}, {REMOVED}"
+        lambda it: _remove(it, at, n, min_words), f"{common.ddl(df)}, {REMOVED}"
     )
 
 

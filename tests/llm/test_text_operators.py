@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import models
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sylvan.llm import decontaminate, licenses, line_dedup, ngram_join
+from sylvan.llm import common, decontaminate, licenses, line_dedup, ngram_join
 
 LONG = 60_000
 
@@ -234,3 +236,22 @@ def test_short_lines_and_paragraphs_go_as_wholes(documents, prose):
     assert got[0] == rows[0][1] and got[50] == rows[40][1] and got[60] == rows[41][1] and got[70] == rows[44][1]
     assert all(got[i] == rows[i][1].replace(line + "\n", "") for i in range(1, 40))
     assert got[61] == "sixty one starts\n" and got[62] == "" and got[71].rstrip() == "seventyone"
+
+
+def test_digests_that_differ_in_high_bits_only_are_no_repeats(documents, prose, monkeypatch):
+    """All digests are equal in their low 40 and first 8 bits, and in one range."""
+    rows = [(i, prose(600 + i, 24)) for i in range(12)]
+    made = line_dedup.Windows.__init__
+
+    def alike(self, *args):
+        made(self, *args)
+        self.digest = ((self.digest & np.uint64(0xFFFF)) << np.uint64(40)) | np.uint64(7)
+
+    monkeypatch.setattr(line_dedup.Windows, "__init__", alike)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    table, powers = common.folding(common.LETTERS_DIGITS), common.Powers()
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [t for _, t in rows], "hash": [i for i, _ in rows]})
+    digests = [line_dedup.Windows(*common.texts_buffer(pa.array([t])), table, powers, 20).digest for _, t in rows]
+    assert len(set(np.concatenate(digests))) == sum(len(set(d)) for d in digests)
+    sent = pa.Table.from_batches(list(line_dedup._send(iter([batch]), 1, 20)))
+    assert line_dedup._repeats(sent).num_rows == 0
