@@ -4,9 +4,16 @@ Categories are predicted one after another by linear (logistic) models on the
 different words of the whole text. Every model but the first has the
 probabilities of the earlier categories among its inputs. While the chain is
 trained these are out-of-fold predictions, so a later model sees earlier ones
-as wrong as they are on new texts. A category is marked where its probability
-reaches the threshold that was best on out-of-fold predictions (F0.5: a clean
-text marked costs more than a toxic one missed).
+as wrong as they are on new texts.
+
+Words of a language with few marked rows get small weights that way. So beside
+the model stand lists of the words that are more frequent in marked texts than
+chance allows, each with the logarithm of how much; a text's evidence is the sum
+over its listed words by its number of words, whatever its language. A last
+small logistic model weighs the word model, the evidence and the earlier
+categories, on out-of-fold values of all of them. A category is marked where
+its probability reaches the threshold that was best on out-of-fold predictions
+(F0.5: a clean text marked costs more than a toxic one missed).
 
 The models are fitted on at most ``MAX_TRAINING`` labelled rows, chosen by a
 hash of the text, so copies stand or fall together and are in one fold. Words
@@ -33,6 +40,8 @@ MAX_TRAINING = 9000
 FOLDS = 3
 LEAST = 5
 EPOCHS, BATCH, RATE, PENALTY = 12, 128, 0.3, 2e-5
+#: Standard errors from chance of the words of each list; words added to the length of a text.
+LEVELS, LENGTH = (1.5, 2.0, 2.5, 3.0), 50
 
 
 def word_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -87,6 +96,54 @@ def train(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, n_words: i
     return model
 
 
+def word_lists(rows: list[np.ndarray], y: np.ndarray, n_words: int) -> list[np.ndarray]:
+    """For each level the log ratios of the words that are as far above chance in marked rows; 0 for others."""
+    word = np.concatenate(rows)
+    marked = np.repeat(y > 0.5, [len(r) for r in rows])
+    with_mark = np.bincount(word[marked], minlength=n_words) + 0.5
+    without = np.bincount(word[~marked], minlength=n_words) + 0.5
+    ratio = np.log(with_mark / (np.sum(y > 0.5) + 1)) - np.log(without / (np.sum(y <= 0.5) + 1))
+    apart = ratio / np.sqrt(1 / with_mark + 1 / without)
+    return [np.where(apart > level, ratio, 0.0) for level in LEVELS]
+
+
+class Category:
+    """The word model, the word lists and the weights of what they say."""
+
+    def __init__(self, rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, n_words: int) -> None:
+        self.model, self.lists = train(rows, earlier, y, n_words), word_lists(rows, y, n_words)
+        self.weights, self.constant = np.zeros(1 + len(LEVELS) + earlier.shape[1]), 0.0
+
+    def inputs(self, word: np.ndarray, row: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        n = len(earlier)
+        p = self.model.score(word, row, earlier)
+        length = np.bincount(row, minlength=n) + LENGTH
+        evidence = [_sum_by_row(x[word], row, n) / length for x in self.lists]
+        return np.column_stack([np.log(p / (1 - p)), *evidence, earlier])
+
+    def weigh(self, inputs: np.ndarray) -> np.ndarray:
+        return _sigmoid(inputs @ self.weights + self.constant)
+
+    def score(self, word: np.ndarray, row: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        return self.weigh(self.inputs(word, row, earlier))
+
+
+def weights_of(inputs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on a few inputs by Newton's steps, with a small penalty."""
+    mean, spread = inputs.mean(axis=0), inputs.std(axis=0)
+    spread[spread < 1e-9] = 1.0
+    x = np.column_stack([(inputs - mean) / spread, np.ones(len(y))])
+    penalty = np.full(x.shape[1], 1.0)
+    penalty[-1] = 1e-3
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = _sigmoid(x @ w)
+        slope = x.T @ (p - y) + penalty * w
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), slope)
+        w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The probability from which on marks have the best F0.5, half way to the next lower one."""
     order = np.argsort(-p, kind="stable")
@@ -127,29 +184,47 @@ def fit(
     for words in sets:
         at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
         ids.append(at[known[at] == words] if len(known) else np.zeros(0, np.int64))
-    earlier = np.zeros((len(sets), 0))
+    labels_of = [got[f"y{i}"].to_numpy(zero_copy_only=False) if len(sets) else np.zeros(0) for i in range(len(labels))]
+    steps, _ = fit_chain(ids, fold, dict(zip(categories, labels_of, strict=True)), len(known))
+    return {"words": known, "steps": steps}
+
+
+def fit_chain(ids: list[np.ndarray], fold: np.ndarray, labels: dict[str, np.ndarray], n_words: int) -> tuple[list, np.ndarray]:
+    """The steps of a chain (category, model, threshold) and the out-of-fold
+    probabilities, from the known words and the labels (NaN for none) of rows."""
+    earlier = np.zeros((len(ids), 0))
     steps = []
-    for i, category in enumerate(categories):
-        y = got[f"y{i}"].to_numpy(zero_copy_only=False) if len(sets) else np.zeros(0)
+    for category, y in labels.items():
         has = np.flatnonzero(~np.isnan(y))
-        held_out, model, threshold = np.zeros(len(sets)), None, None
+        held_out, model, threshold = np.zeros(len(ids)), None, None
         if len(np.unique(y[has])) > 1:
 
             def learn(some, y=y, earlier=earlier):
-                return train([ids[j] for j in some], earlier[some], y[some], len(known))
+                return Category([ids[j] for j in some], earlier[some], y[some], n_words)
 
             model = learn(has)
+            inputs = np.zeros((len(ids), len(model.weights)))
+            known = np.zeros(len(ids), bool)
             for k in range(FOLDS):
                 rest, own = has[fold[has] != k], np.flatnonzero(fold == k)
                 if len(own) and len(np.unique(y[rest])) > 1:
                     word = np.concatenate([ids[j] for j in own])
                     row = np.repeat(np.arange(len(own)), [len(ids[j]) for j in own])
-                    held_out[own] = learn(rest).score(word, row, earlier[own])
+                    inputs[own], known[own] = learn(rest).inputs(word, row, earlier[own]), True
+            some = has[known[has]]
+            if len(np.unique(y[some])) > 1:
+                for k in range(FOLDS):
+                    rest, own = some[fold[some] != k], np.flatnonzero(known & (fold == k))
+                    if len(own) and len(np.unique(y[rest])) > 1:
+                        model.weights, model.constant = weights_of(inputs[rest], y[rest])
+                        held_out[own] = model.weigh(inputs[own])
+                model.weights, model.constant = weights_of(inputs[some], y[some])
+            else:  # too few rows to hold any out
+                model.weights[0] = 1.0
             threshold = best_threshold(held_out[has], y[has])
-        plain = None if model is None else (model.words, model.earlier, model.constant)
-        steps.append((category, plain, threshold))
+        steps.append((category, model, threshold))
         earlier = np.hstack([earlier, held_out[:, None]])
-    return {"words": known, "steps": steps}
+    return steps, earlier
 
 
 def predict(documents: DataFrame, chain: dict, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -172,18 +247,14 @@ def predict(documents: DataFrame, chain: dict, *, text: str = "text", keep: list
                 pairs = np.unique(row[hit] * (len(known) + 1) + place[hit])
                 row, word = pairs // (len(known) + 1), pairs % (len(known) + 1)
                 p = np.zeros((n, 0))
-                for _, plain, _ in steps:
-                    now = np.zeros(n)
-                    if plain is not None:
-                        model = Linear(0, 0)
-                        model.words, model.earlier, model.constant = plain
-                        now = model.score(word, row, p)
+                for _, model, _ in steps:
+                    now = np.zeros(n) if model is None else model.score(word, row, p)
                     p = np.hstack([p, now[:, None]])
                 parts.append(p)
             p = np.vstack(parts)
             out = []
-            for i, (_, plain, threshold) in enumerate(steps):
-                mark = p[:, i] >= threshold if plain is not None else np.zeros(len(p), bool)
+            for i, (_, model, threshold) in enumerate(steps):
+                mark = p[:, i] >= threshold if model is not None else np.zeros(len(p), bool)
                 out += [pa.array(p[:, i]), pa.array(mark)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, *(f"_p{i}" for i in range(len(out)))])
 

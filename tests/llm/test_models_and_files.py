@@ -60,6 +60,26 @@ def test_few_or_no_labels(spark):
 
 
 # --- toxicity ----------------------------------------------------------------
+def test_chain_marks_a_language_of_few_marked_rows(spark):
+    """One loud word in a frequent language; in a rare one some of many forms, in longer and shorter texts."""
+    forms = [f"achlich{a}{b}" for a in ("e", "er", "keit", "ung", "st") for b in ("", "n", "s", "t", "ein")]
+
+    def row(lang, seed, toxic):
+        rng = random.Random(f"{lang}{seed}{toxic}")
+        words = [f"{lang}{rng.choice('abcdefgh')}{int(rng.paretovariate(0.7)) % 3000}" for _ in range(rng.choice((80, 300, 900)))]
+        words += [] if not toxic else ["scumword"] * 3 if lang == "aa" else rng.sample(forms, max(3, len(words) // 60))
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(row(lang, i, t), t) for lang, n in (("aa", 700), ("bb", 200)) for i in range(n) for t in [int(i % 9 == 0)]]
+    chain = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), ["toxic"])
+    fresh = [(lang, t, row(lang, 5000 + i, t)) for lang in ("aa", "bb") for t in (0, 1) for i in range(60)]
+    out = toxicity.predict(spark.createDataFrame(fresh, "lang string, own int, text string"), chain, keep=["lang", "own"])
+    marked = {(r["lang"], r["own"]): r["n"] for r in out.groupBy("lang", "own").agg(F.sum(F.col("toxic").cast("int")).alias("n")).collect()}
+    assert marked["aa", 1] >= 57 and marked["bb", 1] >= 54, marked
+    assert marked["aa", 0] + marked["bb", 0] <= 2, marked
+
+
 def test_chain_marks_planted_words(spark, prose):
     rng = random.Random(6)
     rows = []
