@@ -107,10 +107,17 @@ def test_chain_without_labels(spark):
 
 
 def test_later_models_use_earlier_predictions(spark):
+    """The second category is the first one; its words alone say nothing of it."""
     rng = random.Random(1)
     rows = [(f"{'sig ' if a else ''}w{rng.randrange(50)} w{rng.randrange(50)}", a, a) for a in (rng.randint(0, 1) for _ in range(400))]
     chain = toxicity.fit(spark.createDataFrame(rows, "text string, a int, b int"), ["a", "b"])
-    assert len(chain["steps"][1][1][1]) == 1 and chain["steps"][1][1][1][0] > 0
+    first, second = chain["steps"][0][1], chain["steps"][1][1]
+    own = 1 + len(toxicity.LEVELS)
+    assert len(first.weights) == own and len(second.weights) == own + 1
+    assert second.weights[own] > 0
+    word, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, high = (second.score(word, row, np.array([[p]]))[0] for p in (0.05, 0.95))
+    assert high > 5 * low  # equal if earlier probabilities were not used
 
 
 # --- quality -----------------------------------------------------------------
