@@ -8,6 +8,9 @@ def _words(pattern: str) -> str:
 
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A run of letters; the step of CRC-32 for one bit.
+_LETTERS = r"[A-Za-z\x{00C0}-\x{00FF}]+"
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
 _NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
@@ -48,4 +51,34 @@ links AS MATERIALIZED (
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
+    "op11_spelling": f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, x: {_BIT}) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS MATERIALIZED (
+  SELECT doc_id, w, count(*) AS k FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '{_LETTERS}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+    FROM documents) WHERE length(w) >= 6 GROUP BY 1, 2),
+hashed AS MATERIALIZED (
+  SELECT w, k, xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(str_split(doc_id || ':' || w, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::UBIGINT] ELSE [195::UBIGINT, (unicode(c) - 64)::UBIGINT] END))),
+    lambda a, b: xor(a >> 8, t[((xor(a, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h
+  FROM runs, crc),
+words AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 199 = 0 THEN w[:(h % length(w))::BIGINT] || w[(h % length(w))::BIGINT + 2:] ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+cut AS MATERIALIZED (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM cut a JOIN words w ON w.word = a.rest
+  UNION SELECT w.word, a.word, a.n FROM cut a JOIN words w ON w.word = a.rest),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top, first(other ORDER BY other_n DESC, other) AS other FROM near GROUP BY 1),
+found AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * n THEN other END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root FROM words UNION SELECT w.word, f.form FROM walk w JOIN found f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM found f JOIN walk w USING (word) JOIN found e ON e.word = w.root WHERE e.form IS NULL""",
 }

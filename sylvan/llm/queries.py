@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, pfor, quality, toxicity
+from . import ann, common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, pfor, quality, spelling, toxicity
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -101,6 +101,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -112,4 +117,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_blocks": op9_token_blocks,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
 }
