@@ -81,4 +81,21 @@ found AS MATERIALIZED (
 walk AS (
   SELECT word, word AS root FROM words UNION SELECT w.word, f.form FROM walk w JOIN found f ON f.word = w.root WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM found f JOIN walk w USING (word) JOIN found e ON e.word = w.root WHERE e.form IS NULL""",
+    "op13_lexical_search": f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, unnest({_words(_ALNUM)}) AS term FROM documents),
+lengths AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM docs GROUP BY 1),
+totals AS MATERIALIZED (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+asked AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (
+  SELECT item_id, unnest({_words(_ALNUM)}) AS term FROM benchmark) GROUP BY 1, 2),
+postings AS MATERIALIZED (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM docs WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weights AS MATERIALIZED (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, totals GROUP BY term, n_docs),
+scored AS MATERIALIZED (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY 1, 2)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, pfor, quality, spelling, toxicity
+from . import ann, common, decontaminate, langid, lexical, licenses, line_dedup, ngram_join, packing, pfor, pii, quality, spelling, toxicity
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -106,6 +106,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents that score highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -118,4 +128,6 @@ QUERIES = {
     "op9_token_blocks": op9_token_blocks,
     "op10_packing": op10_packing,
     "op11_spelling": op11_spelling,
+    "op12_pii": op12_pii,
+    "op13_lexical_search": op13_lexical_search,
 }

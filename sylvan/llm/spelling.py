@@ -31,12 +31,12 @@ from . import common
 
 GROUPS = 8
 #: Words of a shard that a task holds at once.
-SHARD = 100_000
+SHARD = 10_000
 MIN_LETTERS, MIN_COUNT, RATIO = 6, 5, 5
 #: One in so many occurrences loses a letter, by the hash of id and word.
 NOISE = 199
 #: Search steps and letters compared at once.
-STEPS, CELLS = 1 << 18, 1 << 22
+STEPS, CELLS = 1 << 17, 1 << 21
 #: Bytes of text between two rounds of counting.
 ROUND = 1 << 24
 #: Longer words get their hash one by one.
@@ -141,8 +141,11 @@ def count_words(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
 
 # --- the trie ----------------------------------------------------------------
+POWERS = common.Powers()
+
+
 class WordList:
-    """Words as code points, with their letter-group counts."""
+    """Words as code points, with their letter-group counts and hashes of their halves."""
 
     def __init__(self, words: pa.Array) -> None:
         self.texts = words.to_pylist()
@@ -152,6 +155,16 @@ class WordList:
         owner = np.repeat(np.arange(len(self.texts)), self.length)
         flat = np.bincount(owner * GROUPS + self.points % GROUPS, minlength=len(self.texts) * GROUPS)
         self.counts = flat.reshape(-1, GROUPS).astype(np.int64)
+        up, down = POWERS.upto(len(self.points) + 1)
+        sums = np.zeros(len(self.points) + 1, np.uint64)
+        np.cumsum((self.points + np.uint64(1)) * up[: len(self.points)], out=sums[1:])
+        end = self.start + self.length
+        #: first and last half, and those of a word that is one letter shorter
+        self.halves = []
+        for half in (self.length // 2, np.maximum(self.length - 1, 0) // 2):
+            first = (sums[self.start + half] - sums[self.start]) * down[self.start]
+            last = (sums[end] - sums[end - half]) * down[end - half]
+            self.halves.append((first, last))
 
 
 class Trie:
@@ -159,7 +172,7 @@ class Trie:
 
     def __init__(self, counts: np.ndarray) -> None:
         levels = counts.shape[1]
-        self.order = np.lexsort(counts.T[::-1]) if len(counts) else np.zeros(0, np.int64)
+        self.order = np.lexsort(counts.T[::-1]) if counts.size else np.arange(len(counts))
         ordered = counts[self.order]
         self.base = int(counts.max(initial=0)) + 3
         node = np.zeros(len(ordered), np.int64)
@@ -213,6 +226,17 @@ class Trie:
             lo = hi
 
 
+def share_half(a: WordList, i: np.ndarray, b: WordList, j: np.ndarray) -> np.ndarray:
+    """Which pairs can be one edit apart: what the edit does not touch has a half of the shorter word."""
+    more = a.length[i] - b.length[j]
+    out = np.zeros(len(i), bool)
+    for difference, of_a, of_b in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
+        k = np.flatnonzero(more == difference)
+        ia, jb = i[k], j[k]
+        out[k] = (a.halves[of_a][0][ia] == b.halves[of_b][0][jb]) | (a.halves[of_a][1][ia] == b.halves[of_b][1][jb])
+    return out
+
+
 def one_edit(a: WordList, i: np.ndarray, b: WordList, j: np.ndarray) -> np.ndarray:
     """Which pairs differ by exactly one inserted, deleted or replaced letter."""
     out = np.zeros(len(i), bool)
@@ -323,8 +347,9 @@ def _searched(depth: int):
                 for i, j in trie.words(query, leaf):
                     if own:
                         i, j = i[i < j], j[i < j]
-                    hit = one_edit(asked, i, listed, j)
-                    i, j = i[hit], j[hit]
+                    for test in (share_half, one_edit):
+                        hit = test(asked, i, listed, j)
+                        i, j = i[hit], j[hit]
                     left, right = pa.array([asked.texts[x] for x in i], pa.string()), pa.array([listed.texts[x] for x in j], pa.string())
                     yield pa.RecordBatch.from_arrays([left, pa.array(n[i]), right, pa.array(count[j])], ["word", "n", "near", "near_n"])
 
