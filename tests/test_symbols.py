@@ -158,7 +158,7 @@ INDEXED = [
     ("javascript", "class Shelf {\n  stock() {}\n}\nfunction audit() {}\n", "cls:Shelf(stock) fn:audit"),
     ("csharp", SNIPPETS[11][1], "cls:Register(Close) mod:Shop"),
     ("cpp", SNIPPETS[9][1], "cls:Shelf(slots)"),
-    ("python", "import os\nfrom a import b\n\nclass A:\n    def m(self):\n        def inner():\n            pass\n    async def n(self): pass\n\ndef f(): pass\n", "cls:A(m,inner,n) fn:f imp:os,b"),
+    ("python", "import os\nfrom a import b\n\nclass A:\n    def m(self):\n        def inner():\n            pass\n    async def n(self): pass\n\ndef f(): pass\n", "cls:A(m,n) fn:f imp:os,b"),
     ("java", "package p;\nimport a.B;\npublic class C {\n  private int x = 1;\n  public C(int a) {\n    if (a) { run(a); }\n    return new D();\n  }\n  @Override\n  public <T> void m(T t) throws E {\n  }\n}\n", "cls:C(C,m) imp:a var:x"),
     ("go", "package main\nimport \"fmt\"\ntype S struct {\n}\nfunc (s *S) Run() {\n}\nconst X = 1\n", "fn:func imp:fmt var:struct,X"),
     (None, "class A {\n}\n", None),
@@ -166,11 +166,11 @@ INDEXED = [
 
 # no code: a string that opens a brace, classes in comments and docstrings
 NO_CODE = [
-    ("typescript", "const open = '{'; const n = 1;\nconst more = '{{{';\nfunction late() {\n}\n", "fn:late var:open,more"),
+    ("typescript", "const open = '{'; const n = 1;\nconst more = '{{{';\nfunction late() {\n}\n", "fn:late var:open,n,more"),
     ("javascript", "/*\nclass Ghost {\n  function ghost() {\n*/\nclass Real { // {\n  run() {\n  }\n}\n", "cls:Real(run)"),
     ("python", 'def f():\n    """class of\nimport this\n"""\n    x = "class Q:"  # class Z:\nclass Real:\n    pass\n', "cls:Real fn:f"),
     ("go", "package p\nvar q = `\nfunc Ghost() {\n`\nfunc Run() {\n}\n", "fn:Run var:q"),
-    ("java", "class A {\n  String s = \"}}}\";\n  void m() {\n  }\n}\n", "cls:A(m)"),
+    ("java", "class A {\n  String s = \"}}}\";\n  void m() {\n  }\n}\n", "cls:A(m) var:s"),
 ]
 
 
@@ -193,8 +193,8 @@ def test_lines_and_depth(frame):
     texts = frame([("r", "a.ts", 1, "typescript", code)], TEXTS)
     got = [(r["line"], r["node_type"], r["depth"]) for r in outline.outline_lines(texts).orderBy("seq").collect()]
     assert got == [
-        (3, "export_statement", 1), (3, "class_declaration", 1), (6, "method_definition", 2),
-        (7, "lexical_declaration", 3), (10, "function_declaration", 1),
+        (3, "export_statement", 1), (3, "class_declaration", 2), (6, "method_definition", 3),
+        (7, "lexical_declaration", 5), (10, "function_declaration", 1),
     ]
 
 

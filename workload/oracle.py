@@ -7,8 +7,9 @@ patterns are shared with the Spark side.
 from __future__ import annotations
 
 from sylvan import constants as K
-from sylvan import outline_rules as R
+from workload import code
 from workload import views as V
+from workload.code import CYCLE, LINES
 
 
 def q(text: str | None) -> str:
@@ -165,7 +166,7 @@ cte(
   strlen(content) AS bytes, {units('content')} AS units
 FROM files WHERE NOT {is_binary('content')}""",
 )
-_codes = list(V.CODE_LINES)
+_codes = list(LINES)
 cte(
     "code_files",
     [],
@@ -173,8 +174,8 @@ cte(
 SELECT source || '/r' || (doc_id // 500) AS repo,
   {pick(V.CODE_DIRS, 'doc_id % 7 % 6')} || lang || doc_id || {pick(_codes, f'doc_id % {len(_codes)}')} AS path,
   array_to_string(list_transform(str_split(text, chr(10)), lambda line, n:
-    replace(list_extract(list_extract([{', '.join(qlist(V.CODE_LINES[c]) for c in _codes)}], (doc_id % {len(_codes)})::INT + 1), ((n - 1) % 8)::INT + 1),
-      '@', ({word('line')}) || ((n - 1) % 3)) || chr(10) || {pick([V.COMMENT_MARKS.get(c, '// ') for c in _codes], f'doc_id % {len(_codes)}')} || line), chr(10)) AS content
+    replace(list_extract(list_extract([{', '.join(qlist(LINES[c]) for c in _codes)}], (doc_id % {len(_codes)})::INT + 1), ((n - 1) % {CYCLE})::INT + 1),
+      '¤', ({word('line')}) || ((n - 1) % 3)) || chr(10) || {pick([V.COMMENT_MARKS.get(c, '// ') for c in _codes], f'doc_id % {len(_codes)}')} || line), chr(10)) AS content
 FROM documents)""",
 )
 cte(
@@ -423,51 +424,29 @@ FROM ({_DOC_TEXTS}) d LEFT JOIN (
 )
 
 # --- outline -----------------------------------------------------------------
-
-
-def linear(pattern: str) -> str:
-    """A pattern for an engine that never goes back, so has no possessive groups."""
-    return pattern.replace("*+", "*").replace("++", "+")
-
-
-def _line_case(rules) -> str:
-    loose = f"NOT regexp_matches(line_text, {q(R.NOT_A_DECLARATION)})"
-    whens = " ".join(
-        f"WHEN regexp_matches(line_text, {q(linear(R.filled(p)))})"
-        + (f" AND {loose}" if t in R.LOOSE_TYPES else "")
-        + f" THEN {q(t)}"
-        for t, p in rules
-    )
-    return f"CASE {whens} END"
-
-
-_declared = "CASE " + " ".join(
-    f"WHEN language IN {qin(names)} THEN {_line_case(rules)}" for (rules, _), names in R.families().items()
-) + " END"
-_exported = f"CASE WHEN language IN {qin(R.EXPORTS)} AND regexp_matches(line_text, '^[ \\t]*export\\b') THEN 'export_statement' END"
+# what every line of code has, written by hand
+_expected = ", ".join(
+    f"({q(ext)}, {line}, {order}, {follow}, {q(t)}, {q(text)}, {q(above)})"
+    for ext, line, order, follow, t, text, above in code.nodes()
+)
 cte(
-    "code_lines",
-    ["code_texts"],
-    # every second line is a comment, without nodes or braces that count
-    """SELECT * FROM (SELECT repo, path, language, unnest(str_split(content, chr(10))) AS line_text,
-  generate_subscripts(str_split(content, chr(10)), 1) AS line FROM code_texts) WHERE line % 2 = 1""",
+    "code_words",
+    [],
+    f"""SELECT repo, path, ext, i, n_lines, ({word('raw')}) || (i % 3) AS w FROM (
+  SELECT source || '/r' || (doc_id // 500) AS repo, {pick(_codes, f'doc_id % {len(_codes)}')} AS ext,
+    {pick(V.CODE_DIRS, 'doc_id % 7 % 6')} || lang || doc_id || ext AS path,
+    unnest(str_split(text, chr(10))) AS raw, generate_subscripts(str_split(text, chr(10)), 1) - 1 AS i,
+    len(str_split(text, chr(10))) AS n_lines
+  FROM documents)""",
 )
 cte(
     "outline",
-    ["code_lines"],
-    f"""WITH marked AS (SELECT *, {_declared} AS declared, {_exported} AS exported,
-  coalesce(sum({n_of('line_text', "'{'")} - {n_of('line_text', "'}'")}) OVER (
-    PARTITION BY repo, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS braces,
-  length(regexp_extract(line_text, '^[ \\t]*')) AS width FROM code_lines)
-SELECT repo, path, seq, node_type, {trim('node_text')} AS node_text, depth, line FROM (
-  SELECT repo, path, 2 * line AS seq, exported AS node_type, line_text AS node_text, line,
-    (1 + CASE WHEN language = 'python' THEN ceil(width / 4) ELSE greatest(braces, 0) END)::INT AS depth
-  FROM marked WHERE exported IS NOT NULL
-  UNION ALL
-  SELECT repo, path, 2 * line + 1, declared,
-    CASE WHEN exported IS NOT NULL THEN regexp_replace(line_text, '^[ \\t]*export[ \\t]+(default[ \\t]+)?', '') ELSE line_text END, line,
-    (1 + CASE WHEN language = 'python' THEN ceil(width / 4) ELSE greatest(braces, 0) END)::INT
-  FROM marked WHERE declared IS NOT NULL)""",
+    ["code_words"],
+    f"""SELECT repo, path, 8 * i + k AS seq, node_type, replace(text, '¤', w) AS node_text,
+  (1 + CASE WHEN above = '' THEN 0 ELSE len(list_filter(str_split(above, '>'), lambda t: t NOT IN {qin(K.MEMBER_BODY_TYPES)})) END)::INT AS depth,
+  2 * i + 1 AS line, CASE WHEN above = '' THEN 'program' ELSE 'program>' || above END AS ancestors
+FROM code_words JOIN (VALUES {_expected}) e(ext, line_no, k, follow, node_type, text, above)
+  ON code_words.ext = e.ext AND i % {CYCLE} = line_no AND i + follow < n_lines""",
 )
 cte(
     "code_nodes",
@@ -652,7 +631,7 @@ WHERE NOT {HIDDEN} AND NOT {BUILTIN} AND NOT regexp_matches(path, '^pkg/[^/]*(/.
         "ignored",
     ),
     "outline_lines": sql(
-        "SELECT repo, path, node_type, node_text, depth, line::INT AS line FROM outline", "outline"
+        "SELECT repo, path, node_type, node_text, depth, line::INT AS line, ancestors FROM outline", "outline"
     ),
     "nodes_structural": sql("SELECT repo, path, seq, node_type, signature FROM structural", "structural"),
     "nodes_depth": sql(

@@ -221,7 +221,8 @@ def discover(spark, sf_dir):
 # --- outline and symbols ----------------------------------------------------
 @query
 def outline_lines(spark, sf_dir):
-    return outline.outline_lines(_code_texts(spark, sf_dir)).drop("seq")
+    nodes = outline.outline_lines(_code_texts(spark, sf_dir)).drop("seq")
+    return nodes.withColumn("ancestors", F.array_join("ancestor_types", ">")).drop("ancestor_types")
 
 
 @query

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from workload.code import CYCLE, LINES
+
 # --- fixed lists, shared with the SQL side ---------------------------------
 FILE_DIRS = [
     "", "src/", "src/core/", "lib/util/", "test/unit/", ".github/wf/",
@@ -24,25 +26,6 @@ CODE_DIRS = ["", "src/", "src/core/", "lib/", "app/models/", "tools/"]
 PAGE_DIRS = [
     "", "src/", "lib/", "test/", "x/test/", "node_modules/", "x/tmp/", ".cache/", "docs/",
 ]
-# language extension and the lines that a text turns into; @ is a word of it.
-# The whole line stands behind each as a comment line.
-CODE_LINES = {
-    ".js": ["import { @ } from './lib/@';", "class @ {", "  @(a, b) {", "    const @ = 1;", "  }", "}", "export function @(x) {", "}"],
-    ".jsx": ["import @ from '@';", "function @(p) {", "  return <div className=\"@\">x</div>;", "}", "export default class @ {", "  render() {", "  }", "}"],
-    ".ts": ["export class @ {", "  private async @(a: string) {", "    if (a) { }", "  }", "}", "export const @ = 2;", "interface @ {", "}"],
-    ".tsx": ["import '@/@.tsx';", "export function @(): JSX.Element {", "  let @ = 3;", "}", "enum @ {", "}", "type @ = string;", "export { @, b };"],
-    ".py": ["import @", "from os import @", "class @:", "    def @(self):", "        return 1", "", "async def @(a):", "    pass"],
-    ".java": ["package @;", "import java.util.@;", "public class @ {", "  private int @ = 5;", "  public @(int a) {", "  }", "  public int @(int n) { return n; }", "}"],
-    ".go": ["package @", "import \"@\"", "func @(a int) int {", "}", "type @ struct {", "}", "func (s *T) @() {", "}"],
-    ".rs": ["use a::@;", "pub struct @ {", "}", "impl X {", "    pub fn @(&self) {", "    }", "}", "enum @ { A }"],
-    ".cpp": ["#include <@>", "namespace @ {", "class @ {", "  int @() const { return 42; }", "};", "}", "using std::@;", "int @(int a);"],
-    ".c": ["#include \"@.h\"", "struct @ {", "  int a;", "};", "int @(int a, int b) {", "  while (a) { b(a); }", "  return @(b);", "}"],
-    ".cs": ["using System.@;", "namespace @ {", "  public class @ {", "    public int @(int n) {", "    }", "    public string @ { get; set; }", "  }", "}"],
-    ".dart": ["import '@/@.dart';", "class @ {", "  int @(int n) {", "    return n;", "  }", "}", "int @(int n) => n;", "enum @ { a }"],
-    ".swift": ["import @", "struct @ {", "  let @ = 1", "  func @(_ v: Int) -> Int {", "  }", "  init(a: Int) {", "  }", "}"],
-    ".kt": ["package @", "import a.@", "class @ {", "  fun @(a: Int): Int {", "  }", "  val @ = 1", "}", "object @ {"],
-    ".md": ["# @", "class @ {", "text @", "", "- @", "}", "function @() {", "."],
-}
 # node type and node text; @ is a word of the line, ~ the whole line, which
 # otherwise stands behind the text as a comment
 NODES = [
@@ -166,17 +149,17 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as source code: every line of text gives a line of code and
     a comment that holds all of it."""
     i = F.col("doc_id")
-    exts = list(CODE_LINES)
+    exts = list(LINES)
     ext = _pick(exts, i % len(exts))
-    lines = F.array(*[F.array(*[F.lit(x) for x in CODE_LINES[e]]) for e in exts])
+    lines = F.array(*[F.array(*[F.lit(x) for x in LINES[e]]) for e in exts])
     templates = F.get(lines, (i % len(exts)).cast("int"))
     mark = _pick([COMMENT_MARKS.get(e, "// ") for e in exts], i % len(exts))
     code = F.transform(
         F.split("text", "\n", -1),
         lambda line, n: F.concat(
             F.replace(
-                F.get(templates, (n % 8).cast("int")),
-                F.lit("@"),
+                F.get(templates, (n % CYCLE).cast("int")),
+                F.lit("¤"),
                 F.concat(_word(line), (n % 3).cast("string")),
             ),
             F.lit("\n"),
