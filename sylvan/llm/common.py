@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -53,9 +54,22 @@ def worker_store() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def trim() -> None:
+    """Give memory that is free back to the machine: allocators keep it for long,
+    and the worker of one stage lives on beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 # --- Arrow -----------------------------------------------------------------
 def texts_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts, one after another, and n + 1 offsets; null is empty."""
+    """UTF-8 bytes of all texts, one after another, and n + 1 offsets; null is empty.
+
+    Called once for each batch; what the last one left free is given back.
+    """
+    trim()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")

@@ -39,6 +39,8 @@ AMBIGUOUS = 0.5
 UNDETERMINED = "und"
 #: Texts are counted in chunks of this many bytes and rows.
 CHUNK, ROWS = 1 << 18, 256
+#: Rows of a matrix worked on at once.
+BLOCK = 200
 
 
 def codewords(n: int) -> np.ndarray:
@@ -110,13 +112,32 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def invert(a: np.ndarray) -> None:
+    """Replace a positive definite matrix by its inverse, some rows at a time and without copies of it."""
+    for lo in range(0, len(a), BLOCK):
+        own = slice(lo, min(lo + BLOCK, len(a)))
+        pivot = np.linalg.inv(a[own, own])
+        column = a[:, own].copy()
+        column[own] = 0
+        rows = pivot @ a[own]
+        rows[:, own] = pivot
+        a[:, own] = 0
+        for at in range(0, len(a), BLOCK):
+            a[at : at + BLOCK] -= column[at : at + BLOCK] @ rows
+        a[own] = rows
+
+
 def fit_codes(x: np.ndarray, y: np.ndarray, languages: list[str]) -> dict:
     """Bit classifiers, weights of the bits and steepness, from unit rows ``x``
     and language numbers ``y``."""
     code = codewords(len(languages))
     target = code[y]
-    gram = (x @ x.T).astype(np.float64) + 1.0
-    inverse = np.linalg.inv(gram + RIDGE * np.eye(len(x)))
+    inverse = np.empty((len(x), len(x)))
+    for lo in range(0, len(x), BLOCK):
+        inverse[lo : lo + BLOCK] = x[lo : lo + BLOCK] @ x.T
+    inverse += 1.0
+    inverse[np.diag_indices_from(inverse)] += RIDGE
+    invert(inverse)
     dual = inverse @ target
     held_out = target - dual / np.diag(inverse)[:, None]
     right = ((held_out * target) > 0).mean(axis=0)
@@ -155,9 +176,17 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", limit: i
         if len(got.setdefault(row["lang"], [])) < each:
             got[row["lang"]].append(bytes(row["x"]))
     languages = sorted(got)
-    x = np.vstack([np.frombuffer(v, np.float16).astype(np.float32) for k in languages for v in got[k]])
     y = np.repeat(np.arange(len(languages)), [len(got[k]) for k in languages])
-    return fit_codes(x, y, languages)
+    x = np.empty((len(y), BUCKETS), np.float32)
+    row = 0
+    for k in languages:
+        for v in got.pop(k):
+            x[row] = np.frombuffer(v, np.float16)
+            row += 1
+    model = fit_codes(x, y, languages)
+    del x
+    common.trim()
+    return model
 
 
 def _sample_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,8 @@ from . import common
 
 #: Words that a worker remembers (about 40 bytes each); it starts anew beyond that.
 MAX_WORDS = 2_000_000
-#: Bytes of text encoded at once.
-CHUNK = 1 << 21
+#: Bytes of text encoded at once; some arrays have 8 bytes for each.
+CHUNK = 1 << 19
 #: Words in one text for the library, and texts in one call.
 TOGETHER, TEXTS = 200, 100
 SENTINEL = "\x02"
