@@ -62,7 +62,7 @@ def _template(levels: int) -> str:
 # a word that an operand follows, and at the start of a line; else it divides.
 _OPERAND_FOLLOWS = "return|typeof|case|in|of|do|else|void|delete|throw|new|yield|await"
 _REGEX = (
-    rf"(?<=(?:[=(,:\[!&|?{{}};+*%~^-]|=>)[ \t]{{0,8}}|\b(?:{_OPERAND_FOLLOWS})[ \t]{{1,8}}|^[ \t]{{0,40}}|\n[ \t]{{0,40}})"
+    rf"(?=/)(?<=(?:[=(,:\[!&|?{{}};+*%~^-]|=>)[ \t]{{0,8}}|\b(?:{_OPERAND_FOLLOWS})[ \t]{{1,8}}|^[ \t]{{0,40}}|\n[ \t]{{0,40}})"
     r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*+"
 )
 _HASHED = "|".join(rf'{_NO_WORD}b?r{"#" * n}"(?s:.*?)"{"#" * n}' for n in (3, 2, 1, 0))
@@ -105,6 +105,8 @@ STATEMENT_TYPES = [
     "import_statement", "export_statement", "lexical_declaration", "variable_declaration", "type_alias_declaration",
     "use_declaration", "import_or_export", "let_declaration",
 ]
+# Characters of a line of several statements that are looked at for the text of one.
+SPAN_LIMIT = 400
 # Languages without statements on one line.
 WHOLE_LINES = ["python"]
 
@@ -186,7 +188,7 @@ _TS_RULES = [
     Rule("function_signature", _FUNCTION + rf"[ \t]*+ID[ \t]*+(?:ANGLE)?[ \t]*+ARGS[ \t]*+{_RETURNS};?[ \t]*+$"),
     Rule("function_declaration", _FUNCTION),
     Rule("method_definition", _METHOD_HEAD + _RETURNS + r"\{", loose=True),
-    Rule("abstract_method_signature", rf"^(?=(?:[a-z]++[ \t]++)*?abstract\b){_JS_MODS}{_JS_NAME}\??[ \t]*+(?:ANGLE)?[ \t]*+ARGS[ \t]*+{_RETURNS}[;,]?[ \t]*+$", MEMBER),
+    Rule("abstract_method_signature", rf"^(?=(?:[a-z]++[ \t]++){{0,8}}?abstract\b){_JS_MODS}{_JS_NAME}\??[ \t]*+(?:ANGLE)?[ \t]*+ARGS[ \t]*+{_RETURNS}[;,]?[ \t]*+$", MEMBER),
     Rule("method_signature", rf"^{_JS_MODS}{_JS_NAME}\??[ \t]*+(?:ANGLE)?[ \t]*+ARGS[ \t]*+{_RETURNS}[;,]?[ \t]*+$", MEMBER, loose=True),
 ]
 
