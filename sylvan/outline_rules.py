@@ -96,7 +96,7 @@ CONTINUED = rf"\n(?=(?:[ \t]*+\n){{0,3}}+[ \t]*+{_CONTINUES})"
 # export lists keep their braces.
 SEVERAL = r"[;{}][ \t]*+[^ \t;]"
 _NAMES = r"^[ \t]*+(?:import|export)\b[^;{}()=]*+\{[^{}]*+\}[^;{}]*+;?|"
-PIECE = r"(?:[^;{}()\[\]]++|" + GROUP + r"|[()\[\]])*+[;{}]?"
+PIECE = r"(?:[^;{}()\[\]]++|" + GROUP + r"|[()\[\]])*+(?:;|\{++|\}++)?"
 PIECES = dict.fromkeys(_JS_FAMILY, _NAMES + PIECE)
 # How far a node goes on its line: to the end of its block, or of its statement.
 BLOCK_SPAN = r"^(?:[^;{}()\[\]]++|" + GROUP + r"|[()\[\]])*+(?:;|\{(?:[^{}]++|" + BRACES + r")*+\}?[ \t]*+;?)?"
@@ -382,7 +382,7 @@ INDENT_LANGUAGES = ["python"]
 TAB_WIDTH = 8
 BLOCK_OPENER = r":[ \t]*+$"
 # How a statement ends that opens or closes a block.
-OPENS, CLOSES = r"\{[\s;]*+$", r"\}[\s;]*+$"
+OPENS, CLOSES = r"(\{++)[\s;]*+$", r"(\}++)[\s;]*+$"
 
 
 def filled(pattern: str) -> str:
