@@ -9,8 +9,12 @@ the wanted recall. All vectors of those parts are ranked by exact distance.
 
 Vectors that are null, zero, hold null or non-finite components, or have
 another length than most, take no part, as rows without an id. Of rows with
-equal vectors all are candidates; ties go to the smaller id. Fewer vectors
-than ``SMALL`` make one part, which is exact search. Parts are cut into blocks
+equal vectors all are candidates; ties go to the smaller id. Rows with one id
+are one query and one candidate: an id stands at most once among the neighbours
+of another, by the smallest distance between vectors of the two. Tables of every
+size are cut into parts and searched through the network; only a table with
+fewer than ``LEAST_SHARE`` different vectors for each of two parts is one part.
+``exact=True`` searches all. Parts are cut into blocks
 of about ``BLOCK`` vectors and ``QUERIES`` queries, whatever their size, so a
 part that holds most rows is spread like any other.
 """
@@ -30,7 +34,8 @@ from . import common
 SAMPLE = 4096
 #: Vectors in a part, about, and most parts.
 PART, MOST_PARTS = 2048, 64
-SMALL = 4096
+#: Parts of small tables, and sample vectors that a part needs.
+LEAST_PARTS, LEAST_SHARE = 8, 16
 NEIGHBOURS = 10
 RECALL = 0.97
 BLOCK, QUERIES = 4096, 512
@@ -167,11 +172,13 @@ def search(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     recall: float = RECALL,
+    exact: bool = False,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` (distance) of the ``k`` nearest.
 
     ``is_query`` is a condition on ``vec_id`` that says which rows are queries
-    too. A query's own row is no candidate of it.
+    too. A query's own id is no candidate of it. ``recall`` is the share of
+    neighbours that held-out queries have to find; ``exact`` leaves the parts out.
     """
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
@@ -180,16 +187,15 @@ def search(
     if sizes is None:
         return spark.createDataFrame([], empty)
     rows, n = rows.filter(F.size("v") == sizes["d"]), sizes["count"]
-    parts = 1
-    while parts < MOST_PARTS and n > SMALL and parts * 2 * PART <= n:
-        parts *= 2
-    model = None
-    if parts > 1:
+    parts, model = 1, None
+    if not exact:
         # by the hash of the vector, so that copies count once
         draw = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)
         sample = rows.filter(draw < min(1.0, 1.2 * SAMPLE / n)).select("v").distinct().orderBy(F.xxhash64("v"))
         x = matrix(sample.limit(SAMPLE).toArrow()["v"])
-        if len(x) > max(parts * 16, NEIGHBOURS + 1):
+        while parts * 2 * LEAST_SHARE <= len(x) and parts < max(LEAST_PARTS, min(MOST_PARTS, n // PART)):
+            parts *= 2
+        if parts > 1:
             model = fit(x, parts, recall)
     shared = spark.sparkContext.broadcast(model)
 
@@ -201,11 +207,12 @@ def search(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
     placed = common.stage(rows.mapInArrow(label, "vec_id long, v array<double>, part int"), "parts")
-    counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    asked = placed.filter(is_query(F.col("vec_id")))
+    held = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids")).collect()
+    counts, ids_in = {r["part"]: r["n"] for r in held}, {r["part"]: r["ids"] for r in held}
+    asked = placed.filter(is_query(F.col("vec_id"))).distinct()
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.array([counts.get(p, 0) for p in range(parts)])
+        size = np.array([ids_in.get(p, 0) for p in range(parts)])
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -256,17 +263,22 @@ def search(
         if len(candidates) and len(queries):
             x, q = matrix(candidates["v"]), matrix(queries["q"])
             ids, own = candidates["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            x, ids = x[by_id], ids[by_id]
+            lead = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             norm = (x * x).sum(axis=1)
             for i in range(len(q)):
                 rough = norm - 2 * (x @ q[i])
                 rough[ids == own[i]] = np.inf
-                left = int(np.isfinite(rough).sum())
+                least = np.minimum.reduceat(rough, lead)  # one for each id
+                left = int(np.isfinite(least).sum())
                 if not left:
                     continue
-                edge = np.partition(rough, min(k, left) - 1)[min(k, left) - 1]
+                edge = np.partition(least, min(k, left) - 1)[min(k, left) - 1]
                 near = np.flatnonzero(rough <= edge + 1e-9 * (1 + abs(edge) + norm.max()))
                 exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[near], exact))[:k]
+                best = np.lexsort((ids[near], exact))
+                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])[:k]]
                 out[0] += [own[i]] * len(best)
                 out[1] += ids[near][best].tolist()
                 out[2] += exact[best].tolist()
@@ -277,6 +289,8 @@ def search(
     near = (
         left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
     )
+    # an id may have several vectors; both steps share one shuffle
+    near = near.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

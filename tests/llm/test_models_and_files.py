@@ -174,12 +174,12 @@ def searched(spark, rows, **options):
     return got
 
 
-def test_small_tables_are_exact_with_ties_and_bad_vectors(spark):
+def test_exact_search_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.integers(0, 2, 6).astype(float).tolist()) for i in range(1, 400)]
     rows = [(i, v if any(v) else [1.0] * 6) for i, v in rows] + [(400, [1.0] * 6)]
     bad = [(500, None), (600, [0.0] * 6), (700, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (800, [float("nan")] * 6), (900, [float("inf")] * 6), (1000, [1.0])]
-    got = searched(spark, rows + bad)
+    got = searched(spark, rows + bad, exact=True)
     assert {q: [x[:2] for x in r] for q, r in got.items()} == exact(rows)
     assert all([x[2] for x in r] == list(range(1, 11)) for r in got.values())
     few = searched(spark, rows[98:103])
@@ -187,6 +187,35 @@ def test_small_tables_are_exact_with_ties_and_bad_vectors(spark):
     assert searched(spark, []) == {} and searched(spark, [(1, [1.0])]) == {} and searched(spark, [(100, [1.0])]) == {}
 
 
+@pytest.mark.parametrize("n", [100, 500, 2000])
+def test_small_tables_go_through_the_parts(spark, n, monkeypatch):
+    made = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    rng = np.random.default_rng(n)
+    centres = 3 * rng.normal(size=(8, 16))
+    x = (centres[rng.integers(0, 8, n)] + 0.5 * rng.normal(size=(n, 16))).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    got, want = searched(spark, rows), exact(rows)
+    assert len(made) == 1 and 2 <= made[0]["parts"] <= 8
+    assert n < 500 or made[0]["probes"] <= made[0]["parts"] // 2
+    assert all(len(r) == 10 for r in got.values()) and got.keys() == want.keys()
+    assert sum(len({i for i, *_ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 9 * len(want)
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(50, 350)]
+    plain = searched(spark, rows, exact=True)
+    twice = rows + [r for r in rows if r[0] % 100 == 0 or r[0] % 3 == 0] * 3
+    assert searched(spark, twice, exact=True) == plain
+    routed = searched(spark, twice)
+    assert all(len({i for i, *_ in r}) == 10 == len(r) for r in routed.values())
+    # other vectors of an id: the smallest distance of the two ids counts
+    far = [(i, [100.0 + i] * 8) for i, _ in rows if i % 100]
+    assert searched(spark, rows + far, exact=True) == plain
+
+
 def test_recall_of_learned_partitions(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16))
