@@ -13,6 +13,7 @@ scanned alone. A match begins and ends with a word.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -166,11 +167,22 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _disjoint(spans: list[tuple]) -> list[tuple]:
-    """Of matches of one label that overlap, the one with the fewest edits, then the first."""
+    """Of matches of one label that overlap, the one with the fewest edits, then the first.
+
+    Kept matches of a label do not overlap, so in order of place only the ones
+    beside a new match can meet it.
+    """
     kept: list[tuple] = []
+    begins: dict[str, list[int]] = {}
+    ends: dict[str, list[int]] = {}
     for x in sorted(spans, key=lambda s: (s[5], s[1], -s[2])):
-        if all(x[0] != y[0] or x[2] < y[1] or x[1] > y[2] for y in kept):
-            kept.append(x)
+        begin, end = begins.setdefault(x[0], []), ends.setdefault(x[0], [])
+        at = bisect_left(begin, x[1])
+        if (at and end[at - 1] >= x[1]) or (at < len(begin) and begin[at] <= x[2]):
+            continue
+        begin.insert(at, x[1])
+        end.insert(at, x[2])
+        kept.append(x)
     return sorted(kept, key=lambda s: (s[1], s[0]))
 
 
