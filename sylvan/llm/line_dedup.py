@@ -7,12 +7,14 @@ bytes above ASCII count. A window is the shortest run of whole units of one
 text, from each unit forward and from each unit backward, with at least
 ``min_words`` words (a word longer than 24 bytes counts as several, for scripts
 without spaces). Beside the windows, every whole line of fewer words and every
-whole paragraph (lines up to a blank one) is a passage of its own, down to a
-line of one word; longer lines are covered by their windows. Digests of all of
+whole paragraph (lines up to a blank one) of at least ``min_line`` words is a
+passage of its own; longer lines are covered by their windows. Digests of all of
 them are grouped over all documents. The occurrence with the smallest document
 id, then the first place, stays; the units of every other occurrence are
-removed. Only repeats of fewer than ``min_words`` words amid a line are left;
-``min_words=1`` removes every repeated unit.
+removed. A line of which all words go takes its marks along (``## ``, ``- ``).
+What is left are repeats of fewer than ``min_words`` words amid a line and of
+fewer than ``min_line`` words on a line of their own: closing brackets, ``return
+1``, one-word answers. ``min_words=1`` removes every repeated unit.
 
 Digests travel packed, all 64 bits of each, cut into ranges; a task has all
 digests of a range and answers with those that a document has to give up.
@@ -35,6 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS = 20
+#: Words from which a line or paragraph counts on its own: as many as make a
+#: window of the decontamination. Shorter ones repeat by chance in a large corpus.
+MIN_LINE = 10
 #: Digests in a range, about, and digests that a task sends at once.
 RANGE_DIGESTS = 1_000_000
 BATCH_DIGESTS = 400_000
@@ -80,7 +85,9 @@ class Windows:
     """The windows, short lines and paragraphs of a chunk of texts, by text and
     place: first word, word behind the last, digest."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table, powers: common.Powers, min_words: int) -> None:
+    def __init__(
+        self, raw: np.ndarray, offsets: np.ndarray, table, powers: common.Powers, min_words: int, min_line: int = MIN_LINE
+    ) -> None:
         self.words = words = common.Words(raw, offsets, table)
         n = len(words.start)
         hashes = words.hashes(powers)
@@ -108,9 +115,11 @@ class Windows:
         back_ok = (back >= first[doc]) if n else np.zeros(0, bool)
         back_ok &= end[np.maximum(back, 0)] != back_end if n else back_ok
         line, paragraph = (np.append(np.flatnonzero(x), n) for x in _line_edges(raw, words))
-        short = upto[line[1:]] - upto[line[:-1]] < min_words
-        a = np.concatenate([unit[begin[ok]], unit[back[back_ok]], line[:-1][short], paragraph[:-1]])
-        b = np.concatenate([unit[end[ok]], unit[back_end[back_ok]], line[1:][short], paragraph[1:]])
+        size = np.diff(upto[line])
+        short = (size >= min_line) & (size < min_words)
+        whole = np.diff(upto[paragraph]) >= min_line
+        a = np.concatenate([unit[begin[ok]], unit[back[back_ok]], line[:-1][short], paragraph[:-1][whole]])
+        b = np.concatenate([unit[end[ok]], unit[back_end[back_ok]], line[1:][short], paragraph[1:][whole]])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)  # a window, a line and a paragraph may be the same words
@@ -124,7 +133,7 @@ class Windows:
 SENT = "range int, batch long, counts binary, digests binary, ids binary"
 
 
-def _send(batches: Iterable[pa.RecordBatch], ranges: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterable[pa.RecordBatch], ranges: int, min_words: int, min_line: int = MIN_LINE) -> Iterator[pa.RecordBatch]:
     """For each batch of documents a row for each range of digests."""
     from pyspark import TaskContext
 
@@ -161,7 +170,7 @@ def _send(batches: Iterable[pa.RecordBatch], ranges: int, min_words: int) -> Ite
         ids = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2)], axis=1)
         for lo, hi in common.chunks(offsets):
             own = offsets[lo : hi + 1] - offsets[lo]
-            found = Windows(raw[offsets[lo] : offsets[hi]], own, table, powers, min_words)
+            found = Windows(raw[offsets[lo] : offsets[hi]], own, table, powers, min_words, min_line)
             held.append((found.digest, found.doc, ids[lo:hi]))
             total += len(found.digest) + hi - lo
             if total >= BATCH_DIGESTS:
@@ -233,10 +242,22 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+def _line_start(raw: bytes, after: int, begin: int) -> int | None:
+    """Start of the line of a word, if only marks stand between them; ``after`` is the end of the word before."""
+    found = max(raw.rfind(b"\n", after, begin), raw.rfind(b"\r", after, begin))
+    return found + 1 if found >= 0 else (0 if after == 0 else None)
+
+
+def _line_end(raw: bytes, end: int, stop: int) -> int | None:
+    """End of the line of a word, if only marks stand between them; ``stop`` is the start of the next word."""
+    ends = [at for at in (raw.find(b"\n", end, stop), raw.find(b"\r", end, stop)) if at >= 0]
+    return min(ends) if ends else (len(raw) if stop == len(raw) else None)
+
+
 REMOVED = "removed array<struct<first_byte:long,last_byte:long>>"
 
 
-def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, min_words: int, min_line: int) -> Iterator[pa.RecordBatch]:
     table, powers = common.folding(common.LETTERS_DIGITS), common.Powers()
     names = [f"_c{i}" for i in range(n)]
     kind = pa.list_(pa.struct([("first_byte", pa.int64()), ("last_byte", pa.int64())]))
@@ -250,7 +271,7 @@ def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, min_words: int
                 continue
             a = offsets[row]
             body = raw[a : offsets[row + 1]]
-            found = Windows(body, np.array([0, len(body)]), table, powers, min_words)
+            found = Windows(body, np.array([0, len(body)]), table, powers, min_words, min_line)
             digest = found.digest
             lost = np.frombuffer(b"".join(blobs), "<u8")
             mine = np.frombuffer(b"".join(own[row]), np.uint8).astype(bool)
@@ -270,6 +291,11 @@ def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, min_words: int
             for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
                 begin, end = int(found.words.start[x]), int(found.words.end[y - 1])
                 stop = int(found.words.start[y]) if y < len(found.words.start) else len(whole)
+                head = _line_start(whole, int(found.words.end[x - 1]) if x else 0, begin)
+                tail = _line_end(whole, end, stop)
+                if head is not None and tail is not None:  # nothing but marks is left of its lines
+                    spans[row].append((head, tail))
+                    continue
                 while end < stop and whole[end] not in b" \t\r\n":  # marks behind the last word
                     end += 1
                 spans[row].append((begin, end))
@@ -279,14 +305,14 @@ def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, min_words: int
         yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "removed"])
 
 
-def _deduplicated(documents: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+def _deduplicated(documents: DataFrame, doc_id: str, text: str, min_words: int, min_line: int) -> DataFrame:
     df = common.inner(documents)
     number, body = (f"_c{documents.columns.index(c)}" for c in (doc_id, text))
     rank = F.coalesce(F.col(number).cast("long"), F.lit(-(1 << 63)))
     rows = df.select(rank.alias("id"), F.col(body).alias("text"), F.xxhash64(body).alias("hash"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(size // (BYTES_PER_DIGEST * RANGE_DIGESTS)) + 1
-    sent = rows.mapInArrow(lambda it: _send(it, ranges, min_words), SENT)
+    sent = rows.mapInArrow(lambda it: _send(it, ranges, min_words, min_line), SENT)
     given = sent.groupBy("range").applyInArrow(_repeats, GIVEN)
     # at most one entry for each range
     given = given.groupBy("id", "hash").agg(F.collect_list(F.struct("digests", "own")).alias("all"))
@@ -296,24 +322,36 @@ def _deduplicated(documents: DataFrame, doc_id: str, text: str, min_words: int)
     )
     n, at = len(documents.columns), documents.columns.index(text)
     return joined.select(*df.columns, "digests", "own").mapInArrow(
-        lambda it: _remove(it, at, n, min_words), f"{common.ddl(df)}, {REMOVED}"
+        lambda it: _remove(it, at, n, min_words, min_line), f"{common.ddl(df)}, {REMOVED}"
     )
 
 
 def deduplicate(
-    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
+    documents: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_words: int = MIN_WORDS,
+    min_line: int = MIN_LINE,
 ) -> DataFrame:
     """All documents with repeated passages cut from the text, and ``removed``:
     the byte ranges of the original text that went (the end is behind the last
     byte). ``removed`` replaces a column of that name."""
-    df = _deduplicated(documents, doc_id, text, min_words)
+    df = _deduplicated(documents, doc_id, text, min_words, min_line)
     return df.select(*common.outer(df, documents.columns, ("removed",)), "removed")
 
 
-def clean(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def clean(
+    documents: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_words: int = MIN_WORDS,
+    min_line: int = MIN_LINE,
+) -> DataFrame:
     """The documents with their own columns, repeated passages cut, without
     those of whose words nothing is left because all of it was repeated."""
-    df = _deduplicated(documents, doc_id, text, min_words)
+    df = _deduplicated(documents, doc_id, text, min_words, min_line)
     left = F.regexp_like(f"_c{documents.columns.index(text)}", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"))
     df = df.filter((F.size("removed") == 0) | left)
     return df.select(*common.outer(df, documents.columns))

@@ -63,11 +63,20 @@ def components(rows, percent=75):
     return [(number, len(s), least[root(i)]) for i, ((number, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-def passages(rows, min_words=20):
+def passages(rows, min_words=20, min_line=10):
     """What line dedup keeps of each (id, text) in order of ids: lists of words."""
-    cut = []
+    cut, whole = [], []
     for _, text in rows:
         text = text or ""
+        blocks = set()
+        for kind in (r"\r\n|\r|\n", r"(?:\r\n|\r|\n)\s*?(?:\r\n|\r|\n)"):
+            at = 0
+            for piece in re.split(kind, text):
+                size = len(ALNUM.findall(lower(piece)))
+                if size >= min_line and (size < min_words or kind[0] == "("):
+                    blocks.add((at, at + size))
+                at += size
+        whole.append(blocks)
         found = list(ALNUM.finditer(lower(text)))
         units, last = [], 0
         for i, m in enumerate(found):
@@ -76,7 +85,7 @@ def passages(rows, min_words=20):
         cut.append((units + [len(found)], [lower(m.group()) for m in found]))
     seen, gone = {}, [set() for _ in rows]
     for k, (units, w) in enumerate(cut):
-        windows = set()
+        windows = set(whole[k])
         for u in range(len(units) - 1):
             ends = [e for e in units[u + 1 :] if e - units[u] >= min_words]
             windows |= {(units[u], ends[0])} if ends else set()

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from types import SimpleNamespace
 
 import models
@@ -232,12 +233,34 @@ def test_short_lines_and_paragraphs_go_as_wholes(documents, prose):
     rows += [(50, prose(350, 30) + " " + line + " " + prose(351, 30))]  # amid a line it is too short
     rows += [(60, "Les.\r\nOne more line of doc sixty"), (61, "sixty one starts\nles!\nles"), (62, "LES")]
     rows += [(70, "blue tree wind\nroad field house\n\nseventy ends so"), (71, "seventyone\n\nblue tree\nwind road field house")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(documents(rows)).repartition(3).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(documents(rows), min_line=1).repartition(3).collect()}
     assert got[0] == rows[0][1] and got[50] == rows[40][1] and got[60] == rows[41][1] and got[70] == rows[44][1]
     assert all(got[i] == rows[i][1].replace(line + "\n", "") for i in range(1, 40))
     assert got[61] == "sixty one starts\n" and got[62] == "" and got[71].rstrip() == "seventyone"
 
 
+def test_lines_from_ten_words_on_go_with_their_marks(documents, prose):
+    line = "The sun and moon, over stone. River under light and wind"
+    code = "def f(x):\n    return 1\n\n## Example\n\nYes.\n"
+    rows = [(1, f"## {line} ##\n{prose(1, 30)}"), (2, f"{prose(2, 30)}\n- {line}!\n{prose(3, 30)}")]
+    rows += [(3, f"* {line} ..."), (4, f"{prose(4, 30)}\n> {line}"), (5, code), (6, code.replace("f(x)", "g(y)"))]
+    rows += [(7, f"{line}\r\n{prose(5, 30)}"), (8, f"{prose(6, 30)} {line} {prose(7, 30)}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(documents(rows)).collect()}
+    assert got[1] == rows[0][1] and got[5] == code and got[6] == rows[5][1] and got[8] == rows[7][1]
+    assert got[2] == f"{prose(2, 30)}\n{prose(3, 30)}" and got[3] == "" and got[4] == f"{prose(4, 30)}\n"
+    assert got[7] == f"\r\n{prose(5, 30)}"
+
+
+def test_lines_and_paragraphs_as_the_model_has_them(documents, prose):
+    rng = random.Random(9)
+    lines = [prose(900 + i, rng.randint(1, 24)) for i in range(14)]
+    rows = [(i, "".join(rng.choice(lines) + rng.choice(["\n", "\n", "\n\n"]) for _ in range(rng.randint(1, 6)))) for i in range(40)]
+    for least in (1, 3, 10):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(documents(rows), min_line=least).collect()}
+        kept = models.passages(rows, min_line=least)
+        assert all(models.words(got[i]) == expected for (i, _), expected in zip(rows, kept, strict=True)), least
+
+
 def test_digests_that_differ_in_high_bits_only_are_no_repeats(documents, prose, monkeypatch):
     """All digests are equal in their low 40 and first 8 bits, and in one range."""
     rows = [(i, prose(600 + i, 24)) for i in range(12)]
@@ -255,3 +278,23 @@ def test_digests_that_differ_in_high_bits_only_are_no_repeats(documents, prose,
     assert len(set(np.concatenate(digests))) == sum(len(set(d)) for d in digests)
     sent = pa.Table.from_batches(list(line_dedup._send(iter([batch]), 1, 20)))
     assert line_dedup._repeats(sent).num_rows == 0
+
+
+def test_matches_that_do_not_overlap_are_found_in_one_sweep():
+    def plain(spans):
+        kept = []
+        for x in sorted(spans, key=lambda s: (s[5], s[1], -s[2])):
+            if all(x[0] != y[0] or x[2] < y[1] or x[1] > y[2] for y in kept):
+                kept.append(x)
+        return sorted(kept, key=lambda s: (s[1], s[0]))
+
+    rng = random.Random(3)
+    for _ in range(50):
+        spans = []
+        for _ in range(rng.randint(0, 60)):
+            a = rng.randint(0, 80)
+            spans.append((rng.choice("ab"), a, a + rng.randint(0, 9), 0, 0, rng.randint(0, 3)))
+        assert licenses._disjoint(spans) == plain(spans)
+    many = [("a", i * 3, i * 3 + 4, 0, 0, i % 3) for i in range(100_000)]
+    began = time.monotonic()
+    assert licenses._disjoint(many) and time.monotonic() - began < 20
