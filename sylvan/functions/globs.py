@@ -119,6 +119,50 @@ def has_glob_chars(name: Column) -> Column:
     return name.rlike(r"[*?{}\[\]]")
 
 
+# Ends of a file name within its pieces.
+_FIRST, _LAST = chr(0xE00B), chr(0xE00C)
+PIECE = 3
+
+
+def _grams(text: Column) -> Column:
+    """Every run of ``PIECE`` characters of a text."""
+    last = F.length(text) - (PIECE - 1)
+    all_of = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, PIECE))
+    return F.when(last >= 1, all_of).otherwise(F.array().cast("array<string>"))
+
+
+def path_pieces(path: Column) -> Column:
+    """What a wildcard can be found by: the runs of three characters of the file
+    name with its ends, its first and its last character, the directories above
+    it (``src/``), and the empty piece, which every file has."""
+    parts = F.split(path, "/", -1)
+    name = F.element_at(parts, -1)
+    above = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d: F.concat(d, F.lit("/")))
+    ends = F.array(
+        F.concat(F.lit(_FIRST), F.substring(name, 1, 1)), F.concat(F.substring(name, -1, 1), F.lit(_LAST)), F.lit("")
+    )
+    return F.array_distinct(F.concat(_grams(F.concat(F.lit(_FIRST), name, F.lit(_LAST))), ends, above))
+
+
+def glob_pieces(glob: Column) -> Column:
+    """Pieces that every file has which a wildcard fits; never none.
+
+    They come from the characters of the last step that stand for themselves:
+    those behind the last slash, choice, class or escape. Steps without any
+    wildcard count where the glob has no choice, class or escape at all.
+    """
+    tail = F.regexp_extract(glob, r"([^/{}\[\]\\]*)\z", 1)
+    head = F.substring(glob, F.lit(1), F.length(glob) - F.length(tail))
+    opening = F.when((head == "") | F.endswith(head, F.lit("/")), F.lit(_FIRST)).otherwise(F.lit(""))
+    closing = F.when(F.length(tail) > 0, F.lit(_LAST)).otherwise(F.lit(""))
+    runs = F.split(F.concat(opening, tail, closing), r"[*?]+", -1)
+    grams = F.flatten(F.transform(runs, _grams))
+    ends = F.filter(runs, lambda r: (F.length(r) == 2) & (F.startswith(r, F.lit(_FIRST)) | F.endswith(r, F.lit(_LAST))))
+    steps = F.regexp_extract_all(glob, F.lit(r"(?:^|(?<=/))([^/*?]+/)"), F.lit(1))
+    steps = F.when(glob.rlike(r"[{}\[\]\\]"), F.slice(steps, 1, 0)).otherwise(steps)
+    return F.array_distinct(F.concat(grams, ends, steps, F.array(F.lit(""))))
+
+
 def ignore_regex_column(rule: Column) -> Column:
     """Regex of an ignore-file rule, relative to the directory of its file.
 

@@ -8,7 +8,7 @@ distinct names, so a name that is asked for often is looked up once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan import constants as K
@@ -18,6 +18,7 @@ from sylvan.operators.joins import join_hot
 
 _NAME = ["repo", "requested"]
 PATTERN_BUNDLE = 64
+_LENGTH_BITS = 32
 
 
 def requests_from_list(rows: DataFrame) -> DataFrame:
@@ -47,30 +48,41 @@ def requests_from_json(replies: DataFrame) -> DataFrame:
     )
 
 
-def _no_hit() -> Column:
-    return F.lit(None).cast("struct<score:int,n:int,path:string>")
+def _rank(path: Column) -> Column:
+    """Preference of a hit as one number: score, then length. The lowest is the best."""
+    return paths.path_score(path).cast("long") * (1 << _LENGTH_BITS) + F.length(path)
+
+
+def _score_of(rank: Column) -> Column:
+    return F.shiftright(rank, _LENGTH_BITS).cast("int")
+
+
+def _first_paths(hits: DataFrame, least: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, best_path``: of the hits with the least rank of their name, the first path.
+
+    Only the few hits that are equal in score and length are compared as text;
+    the least rank itself is a number, which aggregates without a sort.
+    """
+    equal = join_hot(hits, least.select(*keys, "rank"), [*keys, "rank"], "left_semi", spread="path")
+    return equal.groupBy(*keys).agg(F.min("path").alias("best_path"))
 
 
 def _keys_of_file(path: Column, settings_dir: str) -> Column:
     """Every name that can lead to a file: its path, its directories, and, when
     a search may find it, its path suffixes."""
-    hit = F.struct(
-        paths.path_score(path).cast("int").alias("score"), F.length(path).alias("n"), path.alias("path")
-    )
-
-    def entry(key: Column, is_file: bool, is_dir: bool, best: Column) -> Column:
+    def entry(key: Column, is_file: bool, is_dir: bool, rank: Column) -> Column:
         return F.struct(
             key.alias("key"),
             F.lit(is_file).alias("is_file"),
             F.lit(is_dir).alias("is_dir"),
-            best.alias("hit"),
+            rank.cast("long").alias("rank"),
         )
 
-    itself = F.array(entry(path, True, False, _no_hit()))
+    itself = F.array(entry(path, True, False, F.lit(None)))
     above = F.transform(
-        paths.ancestor_dirs(path), lambda d: entry(d, False, True, _no_hit())
+        paths.ancestor_dirs(path), lambda d: entry(d, False, True, F.lit(None))
     )
-    below = F.transform(paths.path_suffixes(path), lambda s: entry(s, False, False, hit))
+    below = F.transform(paths.path_suffixes(path), lambda s: entry(s, False, False, _rank(path)))
     return F.concat(itself, above, F.when(_is_searchable(path, settings_dir), below).otherwise(F.slice(itself, 1, 0)))
 
 
@@ -92,26 +104,33 @@ def _known(files: DataFrame, names: DataFrame, settings_dir: str) -> DataFrame:
 
     One pass over the file names. Names shared by many files (``src``,
     ``index.js``) are spread while they are matched and reduced to one row per
-    task before they are shuffled again. A minimum finds the best hit; no sort.
+    task before they are shuffled again. A minimum of numbers finds the best
+    hits; ``_with_search`` adds the path.
     """
     wanted = (
         names.select("repo", F.explode(F.array("requested", "norm")).alias("key"))
         .filter(F.col("key").isNotNull())
         .distinct()
     )
-    rows = files.select("repo", "path").select("repo", "path", F.inline(_keys_of_file(F.col("path"), settings_dir)))
     return (
-        join_hot(rows, wanted, ["repo", "key"], "left_semi", spread="path")
+        _met(files, wanted, settings_dir)
         .groupBy("repo", "key")
         .agg(
             F.max("is_file").alias("is_file"),
             F.max("is_dir").alias("is_dir"),
-            F.min("hit").alias("best"),
-            F.count("hit").alias("n_hits"),
+            F.min("rank").alias("rank"),
+            F.count("rank").alias("n_hits"),
         )
     )
 
 
+def _met(files: DataFrame, wanted: DataFrame, settings_dir: str) -> DataFrame:
+    """The names of files that are wanted: ``repo, path, key, is_file, is_dir, rank``."""
+    names = F.inline(_keys_of_file(F.col("path"), settings_dir))
+    rows = files.select("repo", "path").select("repo", "path", names)
+    return join_hot(rows, wanted, ["repo", "key"], "left_semi", spread="path")
+
+
 def _with_exact(names: DataFrame, known: DataFrame) -> DataFrame:
     """Add ``path`` and ``is_dir`` of the normalised request."""
     at = known.select("repo", F.col("key").alias("norm"), "is_file", F.col("is_dir").alias("found_dir"))
@@ -138,29 +157,52 @@ def resolve_exact(
     return _with_exact(names, _known(files, names, settings_dir)).select(*_NAME, "path", "is_dir")
 
 
-def _glob_hits(files: DataFrame, names: DataFrame, settings_dir: str) -> DataFrame:
-    """Names with wildcards: a pattern test against the files of the project.
+def _glob_candidates(files: DataFrame, names: DataFrame, settings_dir: str) -> DataFrame:
+    """Files and the wildcards to test them on: ``repo, path, any, patterns``.
 
-    The only lookup without an equality on the name. Requests are the few rows
-    of a project here; its files are spread over sub-keys.
+    An inverted index over pieces of file names: of the pieces that a wildcard
+    cannot do without, the one that the fewest files of its project have leads
+    to its candidates. A wildcard with a piece that no file has meets none; one
+    without any fixed character (``*``) meets all. Wildcards of one piece go in
+    bundles of about ``PATTERN_BUNDLE``, with one regex for all of them first.
     """
-    patterns = names.withColumn("regex", globs.search_regex_column(F.col("requested")))
-    # Patterns of a project go in bundles of about PATTERN_BUNDLE, so that the
-    # join repeats a file once per bundle and no bundle grows with the requests.
-    sizes = patterns.groupBy("repo").agg(
+    path = F.col("path")
+    pieces = names.select(*_NAME, F.explode(globs.glob_pieces(F.col("requested"))).alias("piece"))
+    searchable = files.select("repo", "path").filter(_is_searchable(path, settings_dir))
+    asked = join_hot(searchable, names.select("repo").distinct(), ["repo"], "left_semi", "path")
+    index = asked.select("repo", "path", F.explode(globs.path_pieces(path)).alias("piece"))
+    wanted = pieces.select("repo", "piece").distinct()
+    sizes = (
+        join_hot(index, wanted, ["repo", "piece"], "left_semi", "path")
+        .groupBy("repo", "piece")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # one name with its few pieces is a group
+    rarest = Window.partitionBy(*_NAME).orderBy("n", "piece")
+    chosen = (
+        pieces.join(sizes, ["repo", "piece"], "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
+        .withColumn("at", F.row_number().over(rarest))
+        .filter("at = 1 AND n > 0")
+        .select(*_NAME, "piece")
+    )
+    counts = chosen.groupBy("repo", "piece").agg(
         F.ceil(F.count(F.lit(1)) / PATTERN_BUNDLE).cast("int").alias("n_bundles")
     )
-    per_repo = (
-        patterns.join(sizes, "repo")
-        .groupBy("repo", F.pmod(F.xxhash64("requested"), "n_bundles").alias("bundle"))
-        .agg(F.collect_list(F.struct("requested", "regex")).alias("patterns"))
+    regex = globs.search_regex_column(F.col("requested"))
+    bundles = (
+        chosen.join(counts, ["repo", "piece"])
+        .groupBy("repo", "piece", F.pmod(F.xxhash64("requested"), "n_bundles").alias("bundle"))
+        .agg(F.collect_list(F.struct("requested", regex.alias("regex"))).alias("patterns"))
         .withColumn("any", F.array_join(F.col("patterns.regex"), "|"))
     )
+    return join_hot(index, bundles, ["repo", "piece"], "inner", "path").select("repo", "path", "any", "patterns")
+
+
+def _glob_hits(files: DataFrame, names: DataFrame, settings_dir: str) -> DataFrame:
+    """Names with wildcards: ``repo, requested, path`` of the candidates that fit."""
     path = F.col("path")
-    searchable = files.select("repo", "path").filter(_is_searchable(path, settings_dir))
-    met = join_hot(searchable, per_repo, ["repo"], "inner", "path")
-    # one test for the bundle; its patterns one by one only for a file that fits some
-    met = met.filter(globs.matches(path, F.col("any")))
+    met = _glob_candidates(files, names, settings_dir).filter(globs.matches(path, F.col("any")))
     hits = F.filter("patterns", lambda p: globs.matches(path, p["regex"]))
     return met.select("repo", "path", F.explode(hits).alias("hit")).select(
         "repo", F.col("hit.requested").alias("requested"), "path"
@@ -168,12 +210,11 @@ def _glob_hits(files: DataFrame, names: DataFrame, settings_dir: str) -> DataFra
 
 
 def _best(hits: DataFrame) -> DataFrame:
-    """Best hit per name. A minimum, not a sort: it combines before the shuffle."""
-    path = F.col("path")
-    hit = F.struct(
-        paths.path_score(path).cast("int").alias("score"), F.length(path).alias("n"), path.alias("path")
-    )
-    return hits.groupBy(*_NAME).agg(F.min(hit).alias("best"), F.count(F.lit(1)).alias("n_hits"))
+    """Best hit per name: ``repo, requested, rank, n_hits, best_path``. Numbers
+    combine before the shuffle; no sort over the hits."""
+    ranked = hits.select(*_NAME, "path", _rank(F.col("path")).alias("rank"))
+    least = ranked.groupBy(*_NAME).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n_hits"))
+    return least.join(_first_paths(ranked, least, _NAME), _NAME)
 
 
 def resolve_search(
@@ -200,11 +241,16 @@ def resolve_search(
 def _with_search(
     names: DataFrame, known: DataFrame, files: DataFrame, settings_dir: str
 ) -> DataFrame:
-    """Add ``best`` and ``n_hits`` of the search for a name; null without a hit."""
-    at = known.filter("n_hits > 0").select("repo", F.col("key").alias("requested"), "best", "n_hits")
+    """Add ``rank``, ``n_hits`` and ``best_path`` of the search for a name; null without a hit."""
+    plain = names.filter(~F.col("is_glob")).select(*_NAME)
+    at = known.filter("n_hits > 0").select("repo", F.col("key").alias("requested"), "rank", "n_hits")
+    at = at.join(plain, _NAME, "left_semi")
+    keys = at.select("repo", F.col("requested").alias("key"))
+    hits = _met(files, keys, settings_dir).filter(F.col("rank").isNotNull())
+    hits = hits.select("repo", F.col("key").alias("requested"), "path", "rank")
+    found = at.join(_first_paths(hits, at, _NAME), _NAME)
     wild = _best(_glob_hits(files, names.filter("is_glob"), settings_dir))
-    both = at.join(names.filter(~F.col("is_glob")).select(*_NAME), _NAME, "left_semi").unionByName(wild)
-    return names.join(both, _NAME, "left")
+    return names.join(found.unionByName(wild), _NAME, "left")
 
 
 def resolve_best(
@@ -220,8 +266,8 @@ def resolve_best(
         .filter("n_hits > 0")
         .select(
             *_NAME,
-            F.col("best.path").alias("path"),
-            F.col("best.score").alias("score"),
+            F.col("best_path").alias("path"),
+            _score_of(F.col("rank")).alias("score"),
             F.col("n_hits").alias("n_matches"),
         )
     )
@@ -252,7 +298,7 @@ def resolve(
     missed = F.col("path").isNull() & ~F.col("is_dir")
     answers = _with_search(exact, known, files, settings_dir).select(
         *_NAME,
-        F.when(missed, F.col("best.path")).otherwise(F.col("path")).alias("path"),
+        F.when(missed, F.col("best_path")).otherwise(F.col("path")).alias("path"),
         F.when(~missed, "exact").when(F.col("n_hits") > 0, "search").alias("strategy"),
         "is_dir",
         F.when(missed, F.coalesce("n_hits", F.lit(0)))

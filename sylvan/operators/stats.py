@@ -23,40 +23,55 @@ def with_facts(texts: DataFrame) -> DataFrame:
     )
 
 
-def repo_totals(facts: DataFrame) -> DataFrame:
-    """``repo, n_files, n_lines, total_size``."""
-    return facts.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.sum("line_count").alias("n_lines"),
-        F.sum("size").alias("total_size"),
-    )
+_SUMS = {"line_count": "n_lines", "size": "total_size", "bytes": "bytes", "units": "units"}
+
 
+def language_heads(facts: DataFrame) -> DataFrame:
+    """``repo, lang, n, first_key`` and the sums of the facts there are.
 
-def language_counts(facts: DataFrame) -> DataFrame:
-    """``repo, lang, n, first_key``: files per language, first path of each."""
+    The one aggregate over the files; whatever a head shows is rolled up from
+    its rows, of which a project has as many as languages.
+    """
     path = F.col("path")
+    sums = [F.sum(fact).alias(name) for fact, name in _SUMS.items() if fact in facts.columns]
     return facts.groupBy(
         "repo", F.coalesce("language", F.lit(K.NO_LANGUAGE)).alias("lang")
     ).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct(paths.path_order(path).alias("o"), path.alias("p"))).alias("first_key"),
+        *sums,
     )
 
 
-def lang_distribution(facts: DataFrame) -> DataFrame:
-    """``repo, languages``: ``ts:15 js:1``, languages in order of first path.
+def rolled_up(heads: DataFrame) -> DataFrame:
+    """One row per project from ``language_heads``: ``repo, n_files, languages`` and the sums.
 
-    At most 15 entries per project meet in the second step.
+    ``languages`` is ``ts:15 js:1``, in order of first path. At most 15 entries
+    per project meet here.
     """
     entry = F.concat(L.short_name(F.col("lang")), F.lit(":"), F.col("n").cast("string"))
-    return (
-        language_counts(facts)
-        .withColumn("entry", entry)
-        .groupBy("repo")
-        .agg(F.expr("listagg(entry, ' ') WITHIN GROUP (ORDER BY first_key)").alias("languages"))
+    sums = [F.sum(name).alias(name) for name in _SUMS.values() if name in heads.columns]
+    return heads.withColumn("entry", entry).groupBy("repo").agg(
+        F.sum("n").alias("n_files"),
+        F.expr("listagg(entry, ' ') WITHIN GROUP (ORDER BY first_key)").alias("languages"),
+        *sums,
+    )
+
+
+def repo_totals(facts: DataFrame) -> DataFrame:
+    """``repo, n_files, n_lines, total_size``."""
+    return facts.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.sum("line_count").alias("n_lines"),
+        F.sum("size").alias("total_size"),
     )
 
 
+def lang_distribution(facts: DataFrame) -> DataFrame:
+    """``repo, languages``: ``ts:15 js:1``, languages in order of first path."""
+    return rolled_up(language_heads(facts)).select("repo", "languages")
+
+
 def total_size(facts: DataFrame) -> DataFrame:
     """Size of all texts of a project taken as one: one rounding, at the end."""
     return (
@@ -71,26 +86,27 @@ def total_size(facts: DataFrame) -> DataFrame:
     )
 
 
-def header_row(facts: DataFrame, scope: str | None = None) -> DataFrame:
-    """``repo, header``: ``# name (N files, L lines)``."""
+def _header(scope: str | None) -> Column:
     root = F.concat("repo", F.lit("/" + scope.strip("/"))) if scope else F.col("repo")
-    return repo_totals(facts).select(
-        "repo",
-        F.concat(
-            F.lit("# "),
-            paths.project_name(root),
-            F.lit(" ("),
-            F.col("n_files").cast("string"),
-            F.lit(" files, "),
-            T.format_count(F.col("n_lines")),
-            F.lit(" lines)"),
-        ).alias("header"),
+    return F.concat(
+        F.lit("# "),
+        paths.project_name(root),
+        F.lit(" ("),
+        F.col("n_files").cast("string"),
+        F.lit(" files, "),
+        T.format_count(F.col("n_lines")),
+        F.lit(" lines)"),
     )
 
 
+def header_row(facts: DataFrame, scope: str | None = None) -> DataFrame:
+    """``repo, header``: ``# name (N files, L lines)``."""
+    return repo_totals(facts).select("repo", _header(scope).alias("header"))
+
+
 def repo_heads(facts: DataFrame, scope: str | None = None) -> DataFrame:
-    """``repo, header, languages``."""
-    return header_row(facts, scope).join(lang_distribution(facts), "repo")
+    """``repo, header, languages``, from one aggregate over the files."""
+    return rolled_up(language_heads(facts)).select("repo", _header(scope).alias("header"), "languages")
 
 
 def band(ratio: Column) -> Column:

@@ -75,6 +75,53 @@ def test_resolve_against_brute_force(frame):
             assert others.get((repo, request), set()) == set(hits[1:])
 
 
+def test_wildcards_meet_only_files_with_their_rarest_piece(frame):
+    rng = random.Random(8)
+    dirs = ["src", "lib", "src/core", "web/app"]
+    paths = [f"{rng.choice(dirs)}/{rng.choice(['view', 'model', 'util'])}{i}.{rng.choice(['ts', 'js', 'py'])}" for i in range(600)]
+    paths += ["src/Makefile", "lib/readme.md", "web/app/a", "a", "x.c"]
+    files = frame([("r", p, b"x") for p in paths], FILES)
+    asked = ["readme*", "*77.ts", "view1?.js", "{lib,web}/*.md", "M[a-z]kefile", "?", "*.c", "none*.zip", "src/core/view?.ts", "lib*/m*9.py", "*"]
+    requests = frame([("r", i, a) for i, a in enumerate(asked)], REQUESTS)
+    met = lookup._glob_candidates(files, lookup._names(requests), K.SETTINGS_DIR)
+    tested = {}
+    for row in met.collect():
+        for p in row["patterns"]:
+            tested.setdefault(p["requested"], set()).add(row["path"])
+    hits = {}
+    for row in lookup.resolve_search(requests, files).collect():
+        hits.setdefault(row["requested"], set()).add(row["path"])
+    for name in asked:
+        assert hits.get(name, set()) <= tested.get(name, set()), name
+        body = name.replace("{lib,web}", "@").replace("[a-z]", "?")
+        steps = body.split("/")
+        want = {
+            p for p in paths
+            if len(p.split("/")) >= len(steps)
+            and all(
+                a in ("lib", "web") if b == "@" else fnmatch.fnmatchcase(a, b)
+                for a, b in zip(p.split("/")[-len(steps):], steps)
+            )
+        }
+        assert hits.get(name, set()) == want, name
+    assert "none*.zip" not in tested and tested["readme*"] == {"lib/readme.md"} and tested["*.c"] == {"x.c"}
+    assert len(tested["*77.ts"]) < 12 and len(tested["M[a-z]kefile"]) == 1
+    # only wildcards without a fixed character meet every file
+    assert {n for n, t in tested.items() if len(t) == len(paths)} == {"?", "*"}
+
+
+def test_best_hits_are_found_without_a_sort_of_the_hits(frame):
+    files = frame([("r", f"{d}/{n}", b"x") for d in ("b", "a", "c/d") for n in ("x.ts", "y.ts")], FILES)
+    requests = frame([("r", 0, "x.ts"), ("r", 1, "*.ts"), ("r", 2, "y.ts")], REQUESTS)
+    best = lookup.resolve_best(requests, files)
+    got = {r["requested"]: (r["path"], r["score"], r["n_matches"]) for r in best.collect()}
+    assert got == {"x.ts": ("a/x.ts", 4, 3), "*.ts": ("a/x.ts", 4, 6), "y.ts": ("a/y.ts", 4, 3)}
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    # text is compared among equal hits only
+    sorted_by = [line for line in plan.splitlines() if "SortAggregate" in line]
+    assert all("min(path" in line and "rank" not in line for line in sorted_by)
+
+
 def test_one_hot_name(frame):
     """A third of all files share a name; a request for it is asked for often."""
     files = frame([("r", f"d{i}/index.js" if i % 3 else f"d{i}/u{i}.js", b"x") for i in range(3000)], FILES)
