@@ -180,12 +180,14 @@ def _send(batches: Iterable[pa.RecordBatch], ranges: int, min_words: int, min_li
         yield rows()
 
 
+FOUND = "bucket int, docs binary, counts binary, digests binary, own binary"
 GIVEN = "id long, hash long, digests binary, own binary"
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(table: pa.Table, buckets: int = 1) -> pa.Table:
     """For each document the digests of one range that it has to give up, and
-    whether it keeps the first place of one itself (``own``)."""
+    whether it keeps the first place of one itself (``own``); packed, a row for
+    each bucket of documents."""
     digests = [common.expand(x.as_py(), DIGEST_BYTES) for x in table["digests"]]
     ids = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in table["ids"]])
     counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]])
@@ -213,17 +215,44 @@ def _repeats(table: pa.Table) -> pa.Table:
     d, r, own = d[keep], r[keep], own[keep]
     order = np.argsort(r, kind="stable")
     d, r, own = d[order], r[order], own[order]
-    ranks, begin = np.unique(r, return_index=True)
+    ranks, sizes = np.unique(r, return_counts=True)
     some = np.zeros(int(rank.max(initial=-1)) + 1, np.int64)
     some[rank] = np.arange(len(rank))
-    edges = [*begin.tolist(), len(r)]
+    docs = ids[some[ranks]].astype("<i8").reshape(-1, 2)
+    both = docs.view(np.uint64)
+    bucket = (common.mix64(both[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ both[:, 1]) % np.uint64(buckets)).astype(np.int64)
+    of = np.repeat(bucket, sizes)
+    order, entries = np.argsort(bucket, kind="stable"), np.argsort(of, kind="stable")
+    bucket, of, docs, sizes, d, own = bucket[order], of[entries], docs[order], sizes[order], d[entries], own[entries]
+    rows = []
+    for b in np.unique(bucket).tolist():
+        x, y = np.searchsorted(bucket, [b, b + 1])
+        v, w = np.searchsorted(of, [b, b + 1])
+        packed = (docs[x:y], sizes[x:y].astype("<u4"), d[v:w].astype("<u8"), own[v:w].astype(np.uint8))
+        rows.append((b, *(p.tobytes() for p in packed)))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    columns = [pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)]
+    return pa.table(columns, names=["bucket", "docs", "counts", "digests", "own"])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """What the ranges found for the documents of a bucket: one row for each document."""
+    docs, counts, digests, own = (
+        np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        for name, kind in (("docs", "<i8"), ("counts", "<u4"), ("digests", "<u8"), ("own", np.uint8))
+    )
+    keys, of = np.unique(docs.reshape(-1, 2), axis=0, return_inverse=True)
+    entry = np.repeat(of.ravel(), counts)
+    order = np.argsort(entry, kind="stable")
+    edges = np.searchsorted(entry[order], np.arange(len(keys) + 1)).tolist()
     cut = list(zip(edges, edges[1:], strict=False))
+    digests, own = digests[order], own[order]
     return pa.table(
         [
-            pa.array(ids[some[ranks], 0]),
-            pa.array(ids[some[ranks], 1]),
-            pa.array([d[a:b].astype("<u8").tobytes() for a, b in cut], pa.binary()),
-            pa.array([own[a:b].astype(np.uint8).tobytes() for a, b in cut], pa.binary()),
+            pa.array(keys[:, 0]),
+            pa.array(keys[:, 1]),
+            pa.array([digests[a:b].tobytes() for a, b in cut], pa.binary()),
+            pa.array([own[a:b].tobytes() for a, b in cut], pa.binary()),
         ],
         names=["id", "hash", "digests", "own"],
     )
@@ -273,8 +302,8 @@ def _remove(batches: Iterable[pa.RecordBatch], text: int, n: int, min_words: int
             body = raw[a : offsets[row + 1]]
             found = Windows(body, np.array([0, len(body)]), table, powers, min_words, min_line)
             digest = found.digest
-            lost = np.frombuffer(b"".join(blobs), "<u8")
-            mine = np.frombuffer(b"".join(own[row]), np.uint8).astype(bool)
+            lost = np.frombuffer(blobs, "<u8")
+            mine = np.frombuffer(own[row], np.uint8).astype(bool)
             # of its own repeats a document keeps the words of the first
             _, first, of = np.unique(digest, return_index=True, return_inverse=True)
             kept = np.isin(digest, lost[mine])
@@ -313,10 +342,9 @@ def _deduplicated(documents: DataFrame, doc_id: str, text: str, min_words: int,
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(size // (BYTES_PER_DIGEST * RANGE_DIGESTS)) + 1
     sent = rows.mapInArrow(lambda it: _send(it, ranges, min_words, min_line), SENT)
-    given = sent.groupBy("range").applyInArrow(_repeats, GIVEN)
-    # at most one entry for each range
-    given = given.groupBy("id", "hash").agg(F.collect_list(F.struct("digests", "own")).alias("all"))
-    given = given.select("id", "hash", F.col("all.digests").alias("digests"), F.col("all.own").alias("own"))
+    found = sent.groupBy("range").applyInArrow(lambda t: _repeats(t, ranges), FOUND)
+    # a bucket of documents is about as large as a range
+    given = found.groupBy("bucket").applyInArrow(_gathered, GIVEN)
     joined = df.withColumns({"_id": rank, "_hash": F.xxhash64(body)}).join(
         given, (F.col("_id") == given["id"]) & (F.col("_hash") == given["hash"]), "left"
     )

@@ -261,6 +261,15 @@ def test_lines_and_paragraphs_as_the_model_has_them(documents, prose):
         assert all(models.words(got[i]) == expected for (i, _), expected in zip(rows, kept, strict=True)), least
 
 
+def test_many_ranges_and_buckets_give_the_same(documents, prose, monkeypatch):
+    shared = [prose(700 + i, 40) for i in range(5)]
+    rows = [(i, f"{prose(750 + i, 30)}\n{shared[i % 5]}\n{shared[i % 3]}") for i in range(30)]
+    monkeypatch.setattr(line_dedup, "RANGE_DIGESTS", 30)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(documents(rows)).collect()}
+    kept = models.passages(rows)
+    assert all(models.words(got[i]) == expected for (i, _), expected in zip(rows, kept, strict=True))
+
+
 def test_digests_that_differ_in_high_bits_only_are_no_repeats(documents, prose, monkeypatch):
     """All digests are equal in their low 40 and first 8 bits, and in one range."""
     rows = [(i, prose(600 + i, 24)) for i in range(12)]
