@@ -1,5 +1,7 @@
 """One project holds a third of all files."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,47 @@ def test_directories_and_totals_of_a_hot_project(spark, small_partitions, files)
     # directories are combined by each task before they are shuffled
     plan = snapshot.dir_rows(found)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def final_plan(rows):
+    """How many rows there are, and how they were joined by their key."""
+    n = len(rows.collect())
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return n, set(re.findall(r"(\w+Join) ?\(?\[key", plan))
+
+
+@pytest.mark.parametrize("how", ["left_semi", "inner"])
+def test_repeated_rows_count_for_a_broadcast(spark, small_broadcasts, how):
+    # the keys are below the limit, with their repeats they are not
+    keys = spark.range(0, 20000, 1, 1).select((F.col("id") % 1500).cast("string").alias("key")).distinct().repartition(4)
+    left = spark.range(20000).select("id", (F.col("id") % 3000).cast("string").alias("key"))
+    n, joins = final_plan(join_hot(left, keys, ["key"], how, "id"))
+    assert n == 10500
+    assert joins == {"SortMergeJoin"}
+
+
+def test_short_lists_are_still_broadcast(spark, small_broadcasts):
+    keys = spark.range(0, 20000, 1, 1).select((F.col("id") % 5).cast("string").alias("key")).distinct().repartition(4)
+    left = spark.range(20000).select("id", (F.col("id") % 10).cast("string").alias("key"))
+    n, joins = final_plan(join_hot(left, keys, ["key"], "left_semi", "id"))
+    assert n == 10000
+    assert joins == {"BroadcastHashJoin"}
+
+
+def test_an_exploded_left_side_is_not_broadcast(spark, small_broadcasts):
+    some = spark.range(0, 20000, 1, 1).select((F.col("id") % 1500).alias("id")).distinct().repartition(4)
+    left = some.select("id", F.explode(F.sequence(F.lit(0), F.lit(60)).cast("array<string>")).alias("key"))
+    right = spark.range(40000).select(F.col("id").cast("string").alias("key"), F.lit("x").alias("mark"))
+    joined = join_hot(left, right, ["key"], "inner", "id").filter("mark = 'x'")
+    n, joins = final_plan(joined)
+    assert n == 1500 * 61
+    assert joins == {"SortMergeJoin"}
+    assert joined.columns == ["key", "id", "mark"]
