@@ -3,7 +3,9 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from sylvan import outline_rules as rules
 from sylvan.operators import outline
 from sylvan.plans import snapshot
 
@@ -470,3 +472,21 @@ def test_symbols_of_members_and_variables(frame):
     code = "abstract class A {\n  abstract m(a: string): void;\n  run(\n    b\n  ) {\n  }\n}\nlet p = 1, q = 2;\n"
     row = snapshot.file_index(frame([("r", "a.ts", 1, "typescript", code)], TEXTS)).first()
     assert row["symbols"] == "cls:A(m,run) var:p,q"
+
+
+def test_hidden_text_is_found_in_one_pass(spark):
+    rows = [
+        ("c", 'a("x\\"y"); // ü𝒳 "\nb /* 1\n 2 */ c\n'),
+        ("python", "# a 'b'\nx = 'y' # z"),
+    ]
+    code = spark.createDataFrame(rows, "language string, content string")
+    made = code.select("content", outline.blanked(F.col("content"), F.col("language")).alias("code"))
+    for r in made.collect():
+        assert len(r["code"]) == len(r["content"])
+        assert [i for i, x in enumerate(r["code"]) if x == "\n"] == [i for i, x in enumerate(r["content"]) if x == "\n"]
+    c, python = (r["code"] for r in made.collect())
+    assert c == 'a("  " ");' + " " * 8 + "\nb     \n      c\n"
+    assert python == " " * 7 + "\nx = ' '" + " " * 4
+    # the pattern of a language is looked for once per text
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(rules.OPAQUE["python"]) == 1
