@@ -33,7 +33,7 @@ def file_index(texts: DataFrame) -> DataFrame:
     """
     facts = stats.with_facts(texts).withColumn("facts", F.struct(*_FACTS))
     named = S.classified(_signed(outline.outline_rows(facts, carry=["facts"])))
-    placed = outline.with_position(named.drop("node_type", "node_text", "signature")).drop("ancestor_types")
+    placed = outline.with_position(named.drop("node_type", "node_text", "signature"), deepest=K.MAX_NODE_DEPTH)
     shown = F.col("depth") <= K.MAX_NODE_DEPTH
     nested = S.enclosing_class(
         placed.withColumn("kind", F.when(shown, F.col("kind"))).withColumn(
